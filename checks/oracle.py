@@ -27,13 +27,15 @@ def strip(text: str) -> str:
 
 # Text profiles
 
-_COUNTS = {
-    "length": "length(text)",
-    "upper": count_of("A-Z"),
-    "lower": count_of("a-z"),
-    "digit": count_of("0-9"),
-    "special": count_of(chars.SPECIAL),
-    "whitespace": count_of(WS),
+_COUNTS = {"length": "length(text)::INT"} | {
+    name: f"{count_of(bracket)}::INT"
+    for name, bracket in [
+        ("upper", "A-Z"),
+        ("lower", "a-z"),
+        ("digit", "0-9"),
+        ("special", chars.SPECIAL),
+        ("whitespace", WS),
+    ]
 }
 _RUNS = f"[A-Z]+|[a-z]+|[0-9]+|[{chars.SPECIAL}]+|[^A-Za-z0-9{chars.SPECIAL}]+"
 _TRANSITIONS = f"greatest(length(regexp_replace(text, {quote(_RUNS)}, 'x', 'g')) - 1, 0)"
@@ -62,7 +64,7 @@ def columns(exprs: dict[str, str]) -> str:
 
 
 _PROFILE = f"""
-counted AS (SELECT doc_id, {columns(_COUNTS)}, {_TRANSITIONS} AS transitions,
+counted AS (SELECT doc_id, {columns(_COUNTS)}, ({_TRANSITIONS})::INT AS transitions,
   {columns({name: f"({sql})::INT" for name, sql in _FLAGS.items()})} FROM documents),
 profiled AS (SELECT *, {columns(_RATIO_SQL)} FROM counted)
 """
@@ -305,7 +307,7 @@ ORACLE: dict[str, str] = {
       FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '(?s).'))) AS char FROM documents)
       GROUP BY char""",
     "feature_string": _feature_string(),
-    "classifier_features": f"""SELECT doc_id, length(text) AS length,
+    "classifier_features": f"""SELECT doc_id, length(text)::INT AS length,
       regexp_matches(text, {quote('[' + chars.SPECIAL_WITH_QUOTES + ']')}) AS has_special_chars,
       {count_of(r'\p{Lu}')} / greatest(length(text), 1) AS uppercase_ratio,
       {count_of(chars.unicode_digits())} / greatest(length(text), 1) AS digit_ratio,
@@ -322,8 +324,8 @@ ORACLE: dict[str, str] = {
     "detect_custom_rules": _detect(_CUSTOM),
     "detect_hybrid": _detect(_DEFAULT, score=_SCORE),
     "detect_json": f"""WITH {detected(_DEFAULT)}, {spans(_DEFAULT).replace('scans', 'scans2').replace('numbered', 'numbered2').replace('spans AS', 'spans2 AS')}
-      SELECT has_credential, confidence, count(*) AS n, sum(length(text)) AS chars,
-      sum((SELECT count(*) FROM spans2 s WHERE s.doc_id = d.doc_id)) AS matches
+      SELECT has_credential, confidence, count(*) AS n, sum(length(text))::BIGINT AS chars,
+      sum((SELECT count(*) FROM spans2 s WHERE s.doc_id = d.doc_id))::BIGINT AS matches
       FROM detected d JOIN documents USING (doc_id) GROUP BY ALL""",
     "rules_from_json": f"""WITH {spans(_JSON)} SELECT doc_id, rule_order, type, start, "end" FROM spans""",
     "export_rules": _rules_object(),

@@ -85,7 +85,7 @@ def digit_score(df: DataFrame) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a stand-in class: ``(doc_id, text, label)``."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return documents(spark, sf_dir).join(labels, "doc_id")
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from keysift.functions.grams import raw_grams, word_grams
 from keysift.functions.normalize import normalize_text
+from keysift.session import ensure_checkpoint_dir
 
 # "tfidf": the training vectoriser: normalised text, grams within words, count * idf, then unit
 # length. "raw": the portable client's vectoriser: grams of the text as it is, counts to unit
@@ -43,32 +44,49 @@ def grams_of(text: Column, params: VectorizerParams, mode: str = "tfidf") -> Col
     return word_grams(normalize_text(text, params.exact_accents), params.ngram_max)
 
 
-def gram_counts(df: DataFrame, params: VectorizerParams | None = None, text: str = "text") -> DataFrame:
-    """Corpus counts ``(gram, tf, df)``: occurrences, and documents with the gram.
+# Stands for the document itself among its grams, which are never empty.
+_DOCUMENT = ""
+
+
+def _corpus_counts(df: DataFrame, params: VectorizerParams, text: str) -> DataFrame:
+    """``(gram, tf, df)``: occurrences, and documents with the gram; the empty gram counts documents.
 
     Each row lists its grams twice, all of them and the distinct ones, so that both counts come from
     one aggregation by gram. It is combined per task, however often a gram occurs.
     """
-    params = params or VectorizerParams()
     grams = df.where(F.col(text).isNotNull()).select(grams_of(F.col(text), params).alias("grams"))
-    listed = grams.select(F.posexplode(F.array("grams", F.array_distinct("grams"))))
+    lists = F.array("grams", F.array_distinct("grams"), F.array(F.lit(_DOCUMENT)))
+    listed = grams.select(F.posexplode(lists).alias("pos", "list"))
     return (
-        listed.select("pos", F.explode("col").alias("gram"))
+        listed.select("pos", F.explode("list").alias("gram"))
         .groupBy("gram")
-        .agg(F.count_if(F.col("pos") == 0).alias("tf"), F.count_if(F.col("pos") == 1).alias("df"))
+        .agg(F.count_if(F.col("pos") == 0).alias("tf"), F.count_if(F.col("pos") > 0).alias("df"))
     )
 
 
+def gram_counts(df: DataFrame, params: VectorizerParams | None = None, text: str = "text") -> DataFrame:
+    """Corpus counts ``(gram, tf, df)`` of all grams."""
+    counts = _corpus_counts(df, params or VectorizerParams(), text)
+    return counts.where(F.col("gram") != _DOCUMENT)
+
+
 def fit_vocabulary(df: DataFrame, params: VectorizerParams | None = None, text: str = "text") -> DataFrame:
     """The vocabulary table ``(gram, idx, df, tf, idf)``.
 
     Keeps grams within the document frequency bounds, of those the ``max_features`` most frequent
     (ties by gram), numbered in gram order. ``idf = ln((1 + n) / (1 + df)) + 1``.
+
+    Like any fit this runs at once: one pass over the texts, whose counts are stored. The table that
+    comes back is computed from those.
     """
     params = params or VectorizerParams()
-    documents = df.where(F.col(text).isNotNull()).select(F.count("*")).scalar()
-    kept = gram_counts(df, params, text).where(
-        (F.col("df") >= params.min_df) & (F.col("df") <= documents * F.lit(params.max_df))
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = _corpus_counts(df, params, text).checkpoint()
+    documents = counts.where(F.col("gram") == _DOCUMENT).agg(F.sum("df")).scalar()
+    kept = counts.where(
+        (F.col("gram") != _DOCUMENT)
+        & (F.col("df") >= params.min_df)
+        & (F.col("df") <= documents * F.lit(params.max_df))
     )
     # At most max_features rows from here on, so one task may number them.
     top = kept.orderBy(F.desc("tf"), "gram").limit(params.max_features)

@@ -30,13 +30,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give an input of fewer partitions than cores one partition per core.
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a table scan of fewer partitions than cores one partition per core.
 
     Text functions cost far more CPU than the scan, and a small file with one row group is read by
-    one task. A table with at least as many splits as cores is returned as it is, without a shuffle.
+    one task. A table with at least as many splits as cores comes back as it is, without a shuffle.
+    Only for scans: counting the partitions of a plan with shuffles would run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

@@ -10,10 +10,15 @@ from keysift.operators.detect import Scorer, detect
 
 
 def read_text_stream(
-    spark: SparkSession, folder: str, schema: StructType | str, files: str = "*.parquet"
+    spark: SparkSession,
+    folder: str,
+    schema: StructType | str,
+    files: str = "*.parquet",
+    max_bytes: int = 1 << 40,
 ) -> DataFrame:
-    """New parquet files of a folder as a stream of rows."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+    """New parquet files of a folder as a stream of rows, up to ``max_bytes`` of files a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    return reader.option("maxBytesPerTrigger", str(max_bytes)).parquet(folder)
 
 
 def detect_stream(
