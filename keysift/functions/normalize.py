@@ -23,7 +23,7 @@ def _decomposed(char: str) -> str:
 # symbols and compatibility forms, which would make the plan long and are rare in text.
 _NATIVE_END = 0x2000
 # Common characters that never need more than the native table.
-_NEVER_BEYOND = r"\x00-\x{bb}\x{bf}-\x{131}\x{2010}-\x{2016}\x{2018}-\x{2023}"
+_NEVER_BEYOND = r"\x00-\x{bb}\x{bf}-\x{131}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}"
 
 
 @lru_cache
