@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.functions.spans import SPAN_TYPE, spans
-from keysift.operators.rules import as_rules, check_rules
+from keysift.operators.rules import Rule, as_rules, check_rules
 
 RESULT_COLUMNS = ["has_credential", "confidence", "matches", "match_positions"]
 POSITION_TYPE = "array<struct<start:int,end:int,type:string>>"
@@ -27,25 +27,31 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def matches_any_rule(text: Column, rules=None) -> Column:
-    """True where at least one rule matches. Literal tests run first, a regex only where they hold."""
-    lowered = F.lower(text)
-    return _any([r.may_match(lowered) & text.rlike(r.java_pattern()) for r in as_rules(rules)])
+    """True where at least one rule matches. Literal tests run first, a regex only where they hold.
+
+    The lowercased text is bound to a lambda variable: a filter would otherwise compute it again for
+    every literal.
+    """
+    rules = as_rules(rules)
+    return F.exists(
+        F.array(F.lower(text)),
+        lambda lowered: _any([r.may_match(lowered) & text.rlike(r.java_pattern()) for r in rules]),
+    )
 
 
-def with_spans(df: DataFrame, text: str = "text", rules=None, output: str = "spans") -> DataFrame:
-    """Add all matches of all rules: in rule order, then by position; rules may overlap.
+def _scan(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """Add ``_hit``, whether any rule matches, and ``_spans``, all matches.
 
-    The steps are separate projections, so that each text is lowercased once, each regex runs once
-    per text that may match, and spans are computed only where it did.
+    ``_hit`` does not depend on the spans: a filter on it stays a cheap test next to the scan, and a
+    result without positions never computes them. Each step is its own projection, so that no regex
+    runs twice on a text.
     """
-    rules = as_rules(rules)
     check_rules(df.sparkSession, rules)
-    lowered = df.withColumn("_lowered", F.lower(text))
-    found = lowered.withColumns(
+    hits = df.withColumn("_hit", matches_any_rule(F.col(text), rules))
+    found = hits.withColumns(
         {
             f"_found_{i}": F.when(
-                rule.may_match(F.col("_lowered")),
-                F.regexp_extract_all(text, F.lit(rule.java_pattern()), F.lit(0)),
+                F.col("_hit"), F.regexp_extract_all(text, F.lit(rule.java_pattern()), F.lit(0))
             )
             for i, rule in enumerate(rules)
         }
@@ -65,22 +71,26 @@ def with_spans(df: DataFrame, text: str = "text", rules=None, output: str = "spa
         ).otherwise(F.array().cast(SPAN_TYPE))
         for i, rule in enumerate(rules)
     ]
+    # Where the optimizer copies this into a filter, a text without a match costs one test.
+    everything = F.when(F.col("_hit"), F.concat(F.array().cast(SPAN_TYPE), *located))
     return split.select(
-        *df.columns, F.concat(F.array().cast(SPAN_TYPE), *located).alias(output)
+        *df.columns,
+        F.coalesce("_hit", F.lit(False)).alias("_hit"),
+        F.coalesce(everything, F.array().cast(SPAN_TYPE)).alias("_spans"),
     )
 
 
 def match_spans(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
     """One row per match, next to the input columns: ``rule_order, start, end, type, match``.
 
-    Texts without a match are filtered out by the scan before any span is computed.
+    All matches of all rules; rules may overlap. Texts without a match are filtered out by the scan
+    before any span is computed.
     """
     rules = as_rules(rules)
     names = F.array(*[F.lit(rule.name) for rule in rules])
-    hits = df.where(matches_any_rule(F.col(text), rules))
-    exploded = with_spans(hits, text, rules).select(
-        *df.columns, F.explode("spans").alias("span")
-    )
+    hits = _scan(df, text, rules).where("_hit")
+    # Each hit has spans. The outer form keeps the optimizer from adding a test of their number.
+    exploded = hits.select(*df.columns, F.explode_outer("_spans").alias("span"))
     return exploded.select(
         *df.columns,
         (F.array_position(names, F.col("span.type")) - 1).cast("int").alias("rule_order"),
@@ -88,12 +98,12 @@ def match_spans(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
     )
 
 
-def _with_result(df: DataFrame, columns: list[str], has: Column, confidence: Column, matches: Column):
-    positions = F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["type"]))
+def _with_result(df: DataFrame, columns: list[str], has: Column, matches: Column) -> DataFrame:
+    positions = F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["type"]))
     return df.select(
         *columns,
         has.alias("has_credential"),
-        confidence.alias("confidence"),
+        "confidence",
         matches.alias("matches"),
         positions.cast(POSITION_TYPE).alias("match_positions"),
     )
@@ -108,26 +118,27 @@ def detect(
 ) -> DataFrame:
     """Add ``has_credential, confidence, matches, match_positions`` to every row.
 
-    A rule match decides with confidence 1. Only texts without one reach ``score``; without a
-    scorer they get confidence 0. A text at or above the threshold is itself the match.
+    ``match_positions`` lists the rule matches in rule order, then by position. A rule match decides
+    with confidence 1. Only texts without one reach ``score``; without a scorer they get confidence
+    0. A text at or above the threshold is itself the match.
     """
-    found = with_spans(df, text, rules)
-    has_rule = F.size("spans") > 0
-    rule_matches = F.col("spans.match")
+    found = _scan(df, text, as_rules(rules))
+    hit = F.col("_hit")
+    rule_matches = F.col("_spans.match")
     if score is None:
-        confidence = F.when(has_rule, F.lit(1.0)).otherwise(F.lit(0.0))
-        return _with_result(found, df.columns, has_rule, confidence, rule_matches)
+        decided = found.withColumn("confidence", hit.cast("int").cast("double"))
+        return _with_result(decided, df.columns, hit, rule_matches)
 
-    scored = score(found.withColumn("score_text", F.when(~has_rule, F.col(text))))
-    confidence = F.when(has_rule, F.lit(1.0)).otherwise(F.coalesce("confidence", F.lit(0.0)))
+    scored = score(found.withColumn("score_text", F.when(~hit, F.col(text))))
+    confidence = F.when(hit, F.lit(1.0)).otherwise(F.coalesce("confidence", F.lit(0.0)))
     decided = scored.withColumn("confidence", confidence)
     over = F.col("confidence") >= F.lit(threshold)
     matches = (
-        F.when(has_rule, rule_matches)
+        F.when(hit, rule_matches)
         .when(over, F.array(F.col(text)))
         .otherwise(F.array().cast("array<string>"))
     )
-    return _with_result(decided, df.columns, has_rule | over, F.col("confidence"), matches)
+    return _with_result(decided, df.columns, hit | over, matches)
 
 
 def result_json(detected: DataFrame, text: str = "text") -> DataFrame:

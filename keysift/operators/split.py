@@ -49,11 +49,13 @@ def test_thresholds(
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select(label, "bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("need"))
     )
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("hash"))
+    ordered = Window.partitionBy(label).orderBy("hash")
     return (
         keys.join(F.broadcast(edges), [label, "bucket"])
-        .withColumn("rank", rank)
-        .where(F.col("rank") == F.col("need"))
+        .groupBy(label, "hash", "need")
+        .agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(ordered))
+        .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
         .select(label, F.col("hash").alias("cut"))
     )
 
@@ -67,8 +69,9 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: ``train`` or ``test``, with both classes in proportion and exact sizes.
 
-    ``key`` must be unique and ``label`` 0 or 1; a row with any other label gets a null. The order
-    is that of a seeded hash of the key, so the split does not depend on partitions. Finding the
+    ``label`` is 0 or 1; a row with any other label gets a null. ``key`` identifies a row: rows that
+    share one stay together, which is the only way the sizes can be off. The order is that of a
+    seeded hash of the key, so the split does not depend on partitions. Finding the
     thresholds reads the key and label columns only; the split itself is a map over the table.
     """
     cuts = test_thresholds(df, key, label, test_size, seed)

@@ -48,6 +48,16 @@ def test_split_of_reported_size(spark):
     }
 
 
+def test_rows_of_one_key_stay_together(spark):
+    """A third of all rows share a key."""
+    df = spark.range(900).select(
+        F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("id"), F.lit(1).alias("label")
+    )
+    rows = stratified_split(df, "id").collect()
+    assert len({r.split for r in rows if r.id == -1}) == 1
+    assert len(rows) == 900 and 180 <= sum(r.split == "test" for r in rows) <= 480
+
+
 def test_split_of_nothing(spark):
     assert stratified_split(spark.createDataFrame([], "id LONG, label INT"), "id").count() == 0
 
