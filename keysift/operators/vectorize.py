@@ -12,10 +12,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysift.functions.grams import raw_grams, word_grams
+from keysift.functions.grams import join_words, raw_grams, word_grams
 from keysift.functions.normalize import normalize_text
 from keysift.session import ensure_checkpoint_dir
 
@@ -36,37 +37,79 @@ class VectorizerParams:
     exact_accents: bool = False
 
 
-def grams_of(text: Column, params: VectorizerParams, mode: str = "tfidf") -> Column:
+# Texts longer than this are cut into pieces of this size, which bounds the memory of a task.
+PIECE_CHARS = 250_000
+
+
+def _prepared(text: Column, params: VectorizerParams, mode: str) -> Column:
+    """The string whose substrings are the grams."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    return text if mode == "raw" else join_words(normalize_text(text, params.exact_accents))
+
+
+def _listed(
+    prepared: Column, params: VectorizerParams, mode: str, piece: tuple[Column, int] | None = None
+) -> Column:
     if mode == "raw":
-        return raw_grams(text, 1, params.ngram_max)
-    return word_grams(normalize_text(text, params.exact_accents), params.ngram_max)
+        return raw_grams(prepared, 1, params.ngram_max, piece)
+    return word_grams(prepared, params.ngram_max, piece)
+
+
+def grams_of(text: Column, params: VectorizerParams, mode: str = "tfidf") -> Column:
+    """All grams of a text as one array."""
+    return _listed(_prepared(text, params, mode), params, mode)
+
+
+def _pieces(prepared: DataFrame, size: int) -> DataFrame:
+    """One row per piece of column ``prepared``, numbered in ``piece``; an empty text has one."""
+    last = F.floor((F.greatest(F.length("prepared"), F.lit(1)) - 1) / size).cast("int")
+    return prepared.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
 
 
 # Stands for the document itself among its grams, which are never empty.
 _DOCUMENT = ""
 
 
-def _corpus_counts(df: DataFrame, params: VectorizerParams, text: str) -> DataFrame:
+def _corpus_counts(df: DataFrame, params: VectorizerParams, text: str, size: int) -> DataFrame:
     """``(gram, tf, df)``: occurrences, and documents with the gram; the empty gram counts documents.
 
     Each row lists its grams twice, all of them and the distinct ones, so that both counts come from
-    one aggregation by gram. It is combined per task, however often a gram occurs.
+    one aggregation by gram. It is combined per task, however often a gram occurs. Only a text of
+    several pieces is aggregated under its own number first, to count it once per gram.
     """
-    grams = df.where(F.col(text).isNotNull()).select(grams_of(F.col(text), params).alias("grams"))
-    lists = F.array("grams", F.array_distinct("grams"), F.array(F.lit(_DOCUMENT)))
-    listed = grams.select(F.posexplode(lists).alias("pos", "list"))
-    return (
-        listed.select("pos", F.explode("list").alias("gram"))
-        .groupBy("gram")
-        .agg(F.count_if(F.col("pos") == 0).alias("tf"), F.count_if(F.col("pos") > 0).alias("df"))
+    prepared = df.where(F.col(text).isNotNull()).select(
+        _prepared(F.col(text), params, "tfidf").alias("prepared")
+    )
+    several = F.when(F.length("prepared") > size, F.monotonically_increasing_id())
+    pieces = _pieces(prepared.withColumn("doc", several), size)
+    grams = pieces.select(
+        "doc",
+        "piece",
+        _listed(F.col("prepared"), params, "tfidf", (F.col("piece"), size)).alias("grams"),
+    )
+    marker = F.when(F.col("piece") == 0, F.array(F.lit(_DOCUMENT))).otherwise(
+        F.array().cast("array<string>")
     )
+    lists = F.array("grams", F.array_distinct("grams"), marker)
+    listed = grams.select("doc", F.posexplode(lists).alias("pos", "list"))
+    per_doc = (
+        listed.select("doc", "pos", F.explode("list").alias("gram"))
+        .groupBy("doc", "gram")
+        .agg(F.count_if(F.col("pos") == 0).alias("tf"), F.count_if(F.col("pos") > 0).alias("rows"))
+    )
+    documents = F.when(F.col("doc").isNull(), F.col("rows")).otherwise(F.lit(1))
+    return per_doc.groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum(documents).alias("df"))
 
 
-def gram_counts(df: DataFrame, params: VectorizerParams | None = None, text: str = "text") -> DataFrame:
+def gram_counts(
+    df: DataFrame,
+    params: VectorizerParams | None = None,
+    text: str = "text",
+    piece_chars: int = PIECE_CHARS,
+) -> DataFrame:
     """Corpus counts ``(gram, tf, df)`` of all grams."""
-    counts = _corpus_counts(df, params or VectorizerParams(), text)
+    counts = _corpus_counts(df, params or VectorizerParams(), text, piece_chars)
     return counts.where(F.col("gram") != _DOCUMENT)
 
 
@@ -81,7 +124,7 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams | None = None, text:
     """
     params = params or VectorizerParams()
     ensure_checkpoint_dir(df.sparkSession)
-    counts = _corpus_counts(df, params, text).checkpoint()
+    counts = _corpus_counts(df, params, text, PIECE_CHARS).checkpoint()
     documents = counts.where(F.col("gram") == _DOCUMENT).agg(F.sum("df")).scalar()
     kept = counts.where(
         (F.col("gram") != _DOCUMENT)
@@ -127,15 +170,51 @@ def with_features(
     params: VectorizerParams | None = None,
     text: str = "text",
     mode: str = "tfidf",
+    piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
-    """Add the sparse vector ``features``. Grams outside the vocabulary are dropped, and a text of
-    none, or a null, gets the zero vector. Map-only."""
-    grams = F.coalesce(
-        grams_of(F.col(text), params or VectorizerParams(), mode), F.array().cast("array<string>")
-    )
+    """Add the vector ``features``. Grams outside the vocabulary are dropped, and a text of none, or
+    a null, gets the zero vector.
+
+    Map-only, but for texts longer than a piece: their pieces are counted one by one and summed per
+    text. On a stream every text is taken whole.
+    """
+    params = params or VectorizerParams()
+    if df.isStreaming:
+        return _features_of_whole(df, model, params, text, mode)
+    is_long = F.coalesce(F.length(text) > piece_chars, F.lit(False))
+    whole = _features_of_whole(df.where(~is_long), model, params, text, mode)
+    cut = _features_of_pieces(df.where(is_long), model, params, text, mode, piece_chars)
+    return whole.unionByName(cut)
+
+
+def _features_of_whole(
+    df: DataFrame, model: PipelineModel, params: VectorizerParams, text: str, mode: str
+) -> DataFrame:
+    grams = F.coalesce(grams_of(F.col(text), params, mode), F.array().cast("array<string>"))
     return model.transform(df.withColumn("grams", grams)).select(*df.columns, "features")
 
 
+def _features_of_pieces(
+    df: DataFrame, model: PipelineModel, params: VectorizerParams, text: str, mode: str, size: int
+) -> DataFrame:
+    counts, weighting = model.stages[0], PipelineModel(model.stages[1:])
+    numbered = df.select(
+        F.monotonically_increasing_id().alias("doc"),
+        F.struct("*").alias("row"),
+        _prepared(F.col(text), params, mode).alias("prepared"),
+    )
+    listed = _listed(F.col("prepared"), params, mode, (F.col("piece"), size))
+    counted = counts.transform(_pieces(numbered, size).withColumn("grams", listed))
+    # The row itself travels with its first piece only.
+    row = F.when(F.col("piece") == 0, F.col("row"))
+    summed = (
+        counted.select("doc", row.alias("row"), "_counts")
+        .groupBy("doc")
+        .agg(F.first("row", ignorenulls=True).alias("row"), Summarizer.sum(F.col("_counts")).alias("_counts"))
+    )
+    return weighting.transform(summed).select("row.*", "features")
+
+
 def vector_weights(df: DataFrame, keys: list[str]) -> DataFrame:
     """The non-zero entries of ``features`` as rows ``(*keys, idx, weight)``."""
     entries = df.select(*keys, F.posexplode(vector_to_array("features")).alias("idx", "weight"))

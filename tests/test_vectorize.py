@@ -91,12 +91,14 @@ def test_exact_covers_every_character(spark):
     assert [r.text for r in rows if r.s != expected(r.text)] == []
 
 
-def test_gram_counts(texts):
+@pytest.mark.parametrize("piece_chars", [1, 2, 7, 50, 250_000])
+def test_gram_counts(texts, piece_chars):
+    """The counts do not depend on the pieces a text is cut into."""
     tf, df = Counter(), Counter()
     for text in SAMPLES:
         tf.update(word_grams(text, 3))
         df.update(set(word_grams(text, 3)))
-    rows = gram_counts(texts([*SAMPLES, None])).collect()
+    rows = gram_counts(texts([*SAMPLES, None]), piece_chars=piece_chars).collect()
     assert {r.gram: (r.tf, r.df) for r in rows} == {g: (tf[g], df[g]) for g in tf}
 
 
@@ -141,6 +143,19 @@ def test_transform_raw(texts):
         assert found.get(i, {}) == pytest.approx(expected), repr(text)
 
 
+@pytest.mark.parametrize("mode", ["tfidf", "raw"])
+def test_transform_of_pieces(texts, mode):
+    model = vectorizer(fit_vocabulary(texts(SAMPLES)), mode)
+    df = texts([*SAMPLES, None])
+    whole = weights(df, model, mode=mode)
+    for piece_chars in (1, 5, 30):
+        cut = weights(df, model, mode=mode, piece_chars=piece_chars)
+        assert cut.keys() == whole.keys()
+        assert all(cut[i] == pytest.approx(whole[i]) for i in whole)
+    kept = with_features(df, model, mode=mode, piece_chars=5).select("id", "text")
+    assert set(kept.collect()) == set(df.collect())
+
+
 def test_one_gram_in_every_document(texts):
     """A gram that dominates the corpus is dropped by max_df and counted right before that."""
     df = texts(["aaaa"] * 500 + ["b"] * 3)
