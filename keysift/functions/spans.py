@@ -26,7 +26,7 @@ def running_sum(values: Column, count: Column) -> Column:
     )
 
 
-def spans(matches: Column, gaps: Column, rule: str) -> Column:
+def spans(matches: Column, gaps: Column, rule: Column) -> Column:
     """Half-open code point spans of the matches of one rule, in text order.
 
     ``matches`` are the matched strings and ``gaps`` what splitting the text at the same pattern
@@ -44,9 +44,13 @@ def spans(matches: Column, gaps: Column, rule: str) -> Column:
         lambda end, match: F.struct(
             (end - F.length(match)).alias("start"),
             end.alias("end"),
-            F.lit(rule).alias("type"),
+            rule.alias("type"),
             match.alias("match"),
         ),
     )
-    message = F.lit(f"rule {rule} has empty matches, which have no span")
-    return F.when(aligned, found).otherwise(F.raise_error(message).cast(SPAN_TYPE))
+    message = F.concat(F.lit("rule with empty matches, which have no span: "), rule)
+    return (
+        F.when(F.size(matches) == 0, F.array().cast(SPAN_TYPE))
+        .when(aligned, found)
+        .otherwise(F.raise_error(message).cast(SPAN_TYPE))
+    )

@@ -16,6 +16,7 @@ from keysift.functions.spans import SPAN_TYPE, spans
 from keysift.operators.rules import Rule, as_rules, check_rules
 
 RESULT_COLUMNS = ["has_credential", "confidence", "matches", "match_positions"]
+LISTS_TYPE = "array<array<string>>"
 POSITION_TYPE = "array<struct<start:int,end:int,type:string>>"
 
 # A scorer adds a DOUBLE column ``confidence`` computed from the column ``score_text``.
@@ -48,31 +49,20 @@ def _scan(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """
     check_rules(df.sparkSession, rules)
     hits = df.withColumn("_hit", matches_any_rule(F.col(text), rules))
-    found = hits.withColumns(
-        {
-            f"_found_{i}": F.when(
-                F.col("_hit"), F.regexp_extract_all(text, F.lit(rule.java_pattern()), F.lit(0))
-            )
-            for i, rule in enumerate(rules)
-        }
-    )
-    split = found.withColumns(
-        {
-            f"_gaps_{i}": F.when(
-                F.size(f"_found_{i}") > 0, F.split(text, rule.java_pattern(), -1)
-            )
-            for i, rule in enumerate(rules)
-        }
-    )
-    located = [
-        F.when(
-            F.size(f"_found_{i}") > 0,
-            spans(F.col(f"_found_{i}"), F.col(f"_gaps_{i}"), rule.name),
-        ).otherwise(F.array().cast(SPAN_TYPE))
-        for i, rule in enumerate(rules)
+    patterns = [rule.java_pattern() for rule in rules]
+    extracted = F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
+    found = hits.withColumn("_found", F.when(F.col("_hit"), extracted.cast(LISTS_TYPE)))
+    gaps = [
+        F.when(F.size(F.get("_found", F.lit(i))) > 0, F.split(text, p, -1))
+        for i, p in enumerate(patterns)
     ]
+    split = found.withColumn("_gaps", F.when(F.col("_hit"), F.array(*gaps).cast(LISTS_TYPE)))
+    names = F.array(*[F.lit(rule.name) for rule in rules]).cast("array<string>")
+    located = F.transform(
+        "_found", lambda matches, i: spans(matches, F.get("_gaps", i), F.get(names, i))
+    )
     # Where the optimizer copies this into a filter, a text without a match costs one test.
-    everything = F.when(F.col("_hit"), F.concat(F.array().cast(SPAN_TYPE), *located))
+    everything = F.when(F.col("_hit"), F.flatten(located))
     return split.select(
         *df.columns,
         F.coalesce("_hit", F.lit(False)).alias("_hit"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keysift.session import ensure_checkpoint_dir
+
 
 def _hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -37,7 +39,9 @@ def test_thresholds(
     """
     keys = df.where(F.col(label).isin(0, 1)).select(label, _hash(key, seed).alias("hash"))
     keys = keys.withColumn("bucket", F.substring("hash", 1, 4))
-    histogram = keys.groupBy(label, "bucket").agg(F.count("*").alias("n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    # Two classes and 65536 buckets at most. Stored, as sizes and edges both read it.
+    histogram = keys.groupBy(label, "bucket").agg(F.count("*").alias("n")).checkpoint()
     quotas = _test_quotas(
         histogram.groupBy(label).agg(F.sum("n").alias("size")), label, test_size
     )
@@ -71,8 +75,10 @@ def stratified_split(
 
     ``label`` is 0 or 1; a row with any other label gets a null. ``key`` identifies a row: rows that
     share one stay together, which is the only way the sizes can be off. The order is that of a
-    seeded hash of the key, so the split does not depend on partitions. Finding the
-    thresholds reads the key and label columns only; the split itself is a map over the table.
+    seeded hash of the key, so the split does not depend on partitions.
+
+    Finding the thresholds reads the key and label columns only, and the split itself is a map over
+    the table. The histogram is computed at once, the rest when the result is read.
     """
     cuts = test_thresholds(df, key, label, test_size, seed)
     in_test = F.coalesce(_hash(key, seed) <= F.col("cut"), F.lit(False))
