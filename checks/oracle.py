@@ -219,11 +219,12 @@ top AS (SELECT * FROM per_gram
   ORDER BY tf DESC, gram LIMIT 1500),
 vocabulary AS (SELECT gram, (row_number() OVER (ORDER BY gram) - 1)::INT AS idx, df, tf,
   ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM top)"""
-_RAW = """raw_sized AS (SELECT doc_id, text, unnest([1, 2, 3]) AS n FROM documents),
-raw_placed AS (SELECT doc_id, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM raw_sized),
-raw_counts AS (SELECT doc_id, idx, idf, count(*) AS c
-  FROM (SELECT doc_id, substr(text, i, n) AS gram FROM raw_placed) JOIN vocabulary USING (gram)
-  GROUP BY ALL)"""
+_RAW = """raw_chars AS (SELECT doc_id, string_split(text, '') AS c FROM documents),
+raw_grams AS (SELECT doc_id, unnest(c) AS gram FROM raw_chars
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) FROM raw_chars
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))
+  FROM raw_chars),
+raw_counts AS (SELECT doc_id, idx, idf, count(*) AS c FROM raw_grams JOIN vocabulary USING (gram) GROUP BY ALL)"""
 
 # Evaluation
 
