@@ -19,12 +19,14 @@ def test_rows(
     spark: SparkSession, test_file: str | None = None, split_path: str | None = None
 ) -> DataFrame | None:
     """Rows ``(text, label)`` of the test file, else of the test part of a stored split."""
-    if test_file:
-        return read_testset(spark, test_file).select("text", "label")
-    if split_path:
-        return read_split(spark, split_path).where(F.col("split") == "test").select("text", "label")
-    logger.error("no test data")
-    return None
+    rows = read_testset(spark, test_file) if test_file else None
+    if rows is None and split_path:
+        split = read_split(spark, split_path)
+        rows = None if split is None else split.where(F.col("split") == "test")
+    if rows is None:
+        logger.error("no test data")
+        return None
+    return rows.select("text", "label")
 
 
 test_rows.__test__ = False

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.functions.chars import strip
 from keysift.operators.examples import EXAMPLE_SCHEMA
+from keysift.sources.paths import if_found
 
 _FIELDS = "struct<text:string,is_credential:string,source:string>"
 _STRICT = {"allowSingleQuotes": "false"}
@@ -15,12 +15,9 @@ _STRICT = {"allowSingleQuotes": "false"}
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
     """Text lines as ``(value, file)``, or None where the path does not exist."""
-    try:
-        lines = spark.read.text(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    lines = if_found(spark.read.text, path)
+    if lines is None:
+        return None
     return lines.select("value", F.col("_metadata.file_name").alias("file"))
 
 
@@ -101,7 +98,7 @@ def read_csv(
 ) -> DataFrame:
     """CSV rows as ``(text, is_credential, source, bad_label)``.
 
-    Columns go by position and rows that end before the label are skipped. Any integer but zero is
+    A missing file gives an empty table. Columns go by position and rows that end before the label are skipped. Any integer but zero is
     a positive. Other labels fail the job with ``on_bad="fail"``, else the row comes with a null
     class and its label in ``bad_label``; see ``split_rejects``. ``multiline=False`` lets Spark
     split large files, for data without line breaks inside quotes.
@@ -109,15 +106,12 @@ def read_csv(
     if on_bad not in ("quarantine", "fail"):
         raise ValueError("on_bad must be 'quarantine' or 'fail'")
     width = max(text_col, label_col) + 1
-    raw = spark.read.csv(
-        path,
-        schema=", ".join(f"c{i} STRING" for i in range(width)),
-        header=has_header,
-        multiLine=multiline,
-        quote='"',
-        escape='"',
-        enforceSchema=True,
+    reader = spark.read.schema(", ".join(f"c{i} STRING" for i in range(width))).options(
+        header=has_header, multiLine=multiline, quote='"', escape='"', enforceSchema=True
     )
+    raw = if_found(reader.csv, path)
+    if raw is None:
+        return spark.createDataFrame([], f"{EXAMPLE_SCHEMA}, bad_label STRING")
     label = strip(F.col(f"c{label_col}"))
     is_integer = label.rlike("^[+-]?[0-9]+(_[0-9]+)*$")
     if on_bad == "fail":
@@ -152,13 +146,16 @@ def read_line_examples(spark: SparkSession, path: str, is_credential: bool) -> D
     )
 
 
-def read_testset(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Test rows ``(pos, text, label)`` of JSON objects ``{"texts": [...], "labels": [...]}``.
+def read_testset(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame | None:
+    """Test rows ``(pos, text, label)`` of JSON objects ``{"texts": [...], "labels": [...]}``, or
+    None where the path does not exist.
 
     A file is one object, or with ``multiline=False`` one object per line, which Spark can split.
     """
     schema = "texts ARRAY<STRING>, labels ARRAY<INT>"
-    sets = spark.read.schema(schema).json(path, multiLine=multiline)
+    sets = if_found(spark.read.schema(schema).option("multiLine", multiline).json, path)
+    if sets is None:
+        return None
     rows = sets.select(F.posexplode(F.arrays_zip("texts", "labels")).alias("pos", "row"))
     return rows.select("pos", F.col("row.texts").alias("text"), F.col("row.labels").alias("label"))
 
@@ -168,5 +165,6 @@ def write_split(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def read_split(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_split(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored split, or None where the path does not exist."""
+    return if_found(spark.read.parquet, path)

@@ -44,7 +44,10 @@ def test_missing_file_is_an_empty_class(spark, tmp_path):
     yes = write_file(tmp_path / "yes.jsonl", '{"text": "a", "is_credential": true, "source": "s"}\n')
     loaded = files.load_examples(spark, yes, str(tmp_path / "none.jsonl"))
     assert pairs(loaded) == [("a", True)]
-    assert files.read_line_examples(spark, str(tmp_path / "none.txt"), True).count() == 0
+    none = str(tmp_path / "none")
+    assert files.read_line_examples(spark, none, True).count() == 0
+    assert files.split_rejects(files.read_csv(spark, none))[0].count() == 0
+    assert files.read_testset(spark, none) is None and files.read_split(spark, none) is None
 
 
 def test_label_from_origin(spark, tmp_path):
