@@ -21,6 +21,9 @@ SPECIAL_WITH_QUOTES = SPECIAL + "'\""
 WHITESPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same characters, as Java alone reads it and tests it twice as fast. (?U) extends \s to all of
+# Unicode; it goes first in a pattern.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 # Code points that make a text binary wherever they occur.
 BINARY = r"\x00-\x08\x0e-\x1f\x7f\x{100}-\x{10ffff}"
 # Of the code points left, those that Python counts as printable.
@@ -70,7 +73,7 @@ def count_in(text: Column, bracket: str, never: str | None = None) -> Column:
 
 def strip(text: Column) -> Column:
     """``str.strip``: Unicode whitespace off both ends (SQL ``trim`` only takes spaces)."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def char_class(char: Column) -> Column:

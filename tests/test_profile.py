@@ -139,6 +139,13 @@ def test_tokenize(texts):
         assert row.t == tokens(row.text), repr(row.text)
 
 
+def test_space_classes_match_python(spark):
+    every = [chr(cp) for cp in range(0x110000) if not 0xD800 <= cp <= 0xDFFF]
+    df = spark.createDataFrame([(c,) for c in every if c.isspace() or ord(c) < 0x3100], "c STRING")
+    df = df.select("c", F.col("c").rlike(chars.SPACES).alias("a"), F.col("c").rlike(f"[{chars.WHITESPACE}]").alias("b"))
+    assert all(r.a == r.b == r.c.isspace() for r in df.collect())
+
+
 def test_char_class_and_strip(spark):
     every = [chr(cp) for cp in range(1, 0x250)]
     df = spark.createDataFrame([(c,) for c in every], "c STRING")
