@@ -9,6 +9,9 @@ own columns.
 
 from __future__ import annotations
 
+import array
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +34,7 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 FILE_SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
-CACHED_WORDS = 400_000
+CACHED_PIECES = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -45,28 +48,64 @@ class Encoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     pieces between spaces and line ends, one after the other. Most pieces recur; each is encoded once.
-    Ids are little-endian unsigned 32-bit integers. The memory holds ``CACHED_WORDS`` pieces.
+    Most are one word, perhaps with a full stop or comma, which is a token of its own: such words are
+    encoded many at a time, and told apart by the tokens that end a word. Ids are little-endian
+    unsigned 32-bit integers. The memory holds ``CACHED_PIECES`` pieces and starts anew when full.
     """
 
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
+        # One thread per worker: Spark runs as many workers as there are cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> Iterator[bytes]:
+        encodings = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return (array.array("I", encoding.ids).tobytes() for encoding in encodings)
+
+    def _learn_words(self, words: list[str]) -> None:
         import numpy as np
 
+        for first in range(0, len(words), 1000):
+            some = words[first : first + 1000]
+            (encoded,) = self._each([" ".join(some)])
+            ends = (np.flatnonzero(self.ends[np.frombuffer(encoded, "<u4")]) + 1) * 4
+            if len(ends) != len(some):  # a vocabulary that cuts words otherwise
+                self.words.update(zip(some, self._each(some)))
+                continue
+            begins = [0, *ends[:-1].tolist()]
+            self.words.update(zip(some, (encoded[a:b] for a, b in zip(begins, ends.tolist()))))
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain, rest = [], []
+        for piece in pieces:
+            match = self.PLAIN.fullmatch(piece)
+            if match:
+                plain.append((piece, *match.groups()))
+            else:
+                rest.append(piece)
+        wanted = {word for _, word, _ in plain} | {mark for _, _, mark in plain if mark}
+        self._learn_words(list(wanted.difference(self.words)))
+        words = self.words
+        for piece, word, mark in plain:
+            self.known[piece] = words[word] + words[mark] if mark else words[word]
+        self.known.update(zip(rest, self._each(rest)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(set().union(*pieces))
-        known = self.known
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for piece, encoding in zip(new, encoded):
-            known[piece] = np.array(encoding.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, each)) for each in pieces]
+        if len(self.known) > CACHED_PIECES:
+            self.known, self.words = {}, {}
+        self._learn(list(set().union(*pieces).difference(self.known)))
+        return [b"".join(map(self.known.__getitem__, each)) for each in pieces]
 
 
 def _encode(path: str, end_id: int):

@@ -723,6 +723,7 @@ TOKEN_TEXTS = [
     "\u0301 \u0301a a \u0301",
     "日本語 テキスト 한국어 \U0001f600\U0001f468\u200d\U0001f469",
     "x" * 20_000 + " " + "word " * 20_000,
+    "Über, straße. ÿ ÆØ×÷ naïve, ½a aª word.. word,, a,b .word ,",
 ]
 
 
@@ -769,7 +770,7 @@ def test_token_files_prune(spark):
 
 
 def test_encoder_forgets_without_harm(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED_WORDS", 10)
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 10)
     encoder, texts = tokens.Encoder(tokens.tokenizer_path()), [prose(i, 8) for i in range(6)]
     direct = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     got = [np.frombuffer(x, "<u4").tolist() for t in texts for x in encoder([t])]
