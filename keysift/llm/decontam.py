@@ -31,12 +31,12 @@ BLOCK_WORDS = 2_000_000
 class Cgk(NamedTuple):
     """``percent`` of an item's words may be edited. ``repetitions`` samples of ``samples`` steps each:
     if a share q of the steps survives the edits, a window is found with probability
-    1 - (1 - q^samples)^repetitions, 0.998 at q = 0.75. Items of under ``least`` words are matched by
+    1 - (1 - q^samples)^repetitions, 0.9999 at q = 0.85. Items of under ``least`` words are matched by
     no window, as so few words occur together by chance."""
 
     percent: int = 10
-    repetitions: int = 16
-    samples: int = 4
+    repetitions: int = 20
+    samples: int = 5
     least: int = 8
     seed: int = 11
 
@@ -168,54 +168,67 @@ def walk(words: list[int], steps: tuple[int, ...], moves: list[list[int]]) -> tu
 
 
 class Members:
-    """A set of non-negative integers that tests whole arrays (numpy): a bit map of a hash of each,
-    then the sorted values."""
+    """A set of integers that tests whole arrays (numpy): a bit map of a hash of each, then the sorted
+    values."""
 
     BITS = 18
 
     def __init__(self, values):
         import numpy as np
 
-        self.values = np.unique(np.asarray(values, np.int64))
+        self.values = np.unique(values)
         self.marks = np.zeros(1 << self.BITS, bool)
         self.marks[self._slots(self.values)] = True
 
     def _slots(self, values):
         import numpy as np
 
-        product = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (product >> np.uint64(64 - self.BITS)).astype(np.int64)
+        product = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (product >> np.uint64(64 - self.BITS)).view(np.int64)
 
     def among(self, values):
         """Positions of those in the set."""
         import numpy as np
 
-        maybe = np.flatnonzero(self.marks[self._slots(values)])
-        if not len(maybe):
-            return maybe
-        found = np.searchsorted(self.values, values[maybe])
+        maybe = np.flatnonzero(self.marks.take(self._slots(values)))
+        found = np.searchsorted(self.values, values.take(maybe))
         found = np.minimum(found, len(self.values) - 1)
-        return maybe[self.values[found] == values[maybe]]
+        return maybe[self.values.take(found) == values.take(maybe)]
 
 
 class Finder:
-    """Candidates and verified matches in word numbers of many texts, one after the other (numpy)."""
+    """Candidates and verified matches in word numbers of many texts, one after the other (numpy).
+
+    Sampled words are kept as one integer, each step's word appended as a digit to base ``n``. It may
+    wrap around; what meets by chance is rejected by the exact distance.
+    """
 
     def __init__(self, index: Index, params: Cgk):
         import numpy as np
 
         self.index, self.params = index, params
-        self.n = len(index.numbers) + 1
+        self.n = np.int64(len(index.numbers) + 1)
+        self.reach = 0
         every = np.arange(self.n)
         self.tables = []
         for salt, second, groups in index.tables:
-            moves = [bit(every, k, salt).astype(np.int32) for k in range(second)]
-            pairs = {shape: {w[0] * self.n + w[1] for w in group} for shape, group in groups.items()}
-            begins = np.zeros(self.n, bool)
-            begins[[w[0] for group in groups.values() for w in group]] = True
-            all_pairs = Members(sorted(set().union(*pairs.values())))
-            by_shape = [(shape, Members(sorted(pairs[shape])), groups[shape]) for shape in groups]
-            self.tables.append((salt, second, moves, begins, all_pairs, by_shape))
+            moves = [bit(every, k, salt) for k in range(second)]
+            begins, pairs, by_shape = np.zeros(self.n, bool), [], []
+            for (anchor, steps), group in groups.items():
+                wrote = np.array(list(group), np.int64)
+                begins[wrote[:, 0]] = True
+                codes = [wrote[:, 0]]
+                for k in range(1, wrote.shape[1]):
+                    codes.append(codes[-1] * self.n + wrote[:, k])
+                pairs.append(codes[1])
+                items: dict[int, list[int]] = {}
+                for code, own in zip(codes[-1].tolist(), group.values()):
+                    items.setdefault(code, []).extend(own)
+                by_shape.append((anchor, steps, [Members(code) for code in codes[1:]], items))
+                self.reach = max(self.reach, steps[-1])
+            if pairs:
+                pairs = Members(np.concatenate(pairs))
+                self.tables.append((salt, second, moves, begins, pairs, by_shape))
 
     def candidates(self, numbers) -> set[tuple[int, int, int]]:
         """``(item, place, start)``: the walk starts at ``start``, and but for edits before it the
@@ -223,36 +236,35 @@ class Finder:
         import numpy as np
 
         found: set[tuple[int, int, int]] = set()
-        length = len(numbers)
-        for salt, second, moves, begins, all_pairs, by_shape in self.tables:
-            start = np.flatnonzero(begins[numbers])
-            at = start
+        numbers = np.concatenate([numbers, np.zeros(self.reach + 1, np.int64)])
+        for salt, second, moves, begins, pairs, by_shape in self.tables:
+            start = np.flatnonzero(begins.take(numbers))
+            word = numbers.take(start)
+            code, at = word * self.n, start
             for step in range(second):
-                at = at + moves[step][numbers[np.minimum(at, length - 1)]]
-            at = np.minimum(at, length - 1)
-            code = numbers[start].astype(np.int64) * self.n + numbers[at]
-            hit = all_pairs.among(code)
+                at = at + moves[step].take(word)
+                word = numbers.take(at)
+            code = code + word
+            hit = pairs.among(code)
             start, at, code = start[hit], at[hit], code[hit]
-            for (anchor, steps), pairs, items in by_shape:
-                own = pairs.among(code)
-                if len(own):
-                    wrote = self._follow(numbers, start[own], at[own], steps, salt)
-                    for begin, key in wrote:
-                        for number in items.get(key, ()):
-                            found.add((number, begin - anchor, begin))
+            for anchor, steps, members, items in by_shape:
+                for begin, key in self._follow(numbers, start, at, code, salt, steps, members):
+                    for number in items[key]:
+                        found.add((number, begin - anchor, begin))
         return found
 
-    def _follow(self, numbers, start, at, steps, salt):
-        """``(start, sampled words)`` of the walks that stand at ``at`` at the second step."""
-        import numpy as np
-
-        end = len(numbers) - 1
-        wrote = [numbers[start], numbers[at]]
-        for last, step in zip(steps[1:], steps[2:]):
-            for k in range(last, step):
-                at = np.minimum(at + bit(numbers[at], k, salt), end)
-            wrote.append(numbers[at])
-        return zip(start.tolist(), zip(*[words.tolist() for words in wrote]))
+    def _follow(self, numbers, start, at, code, salt, steps, members):
+        """``(start, sampled words)`` of walks, from the second step on, that go on like some item."""
+        for k, step in enumerate(steps[1:], 1):
+            if k > 1:
+                for walked in range(steps[k - 1], step):
+                    at = at + bit(numbers.take(at), walked, salt)
+                code = code * self.n + numbers.take(at)
+            own = members[k - 1].among(code)
+            start, at, code = start[own], at[own], code[own]
+            if not len(start):
+                break
+        return zip(start.tolist(), code.tolist())
 
     def matches(self, numbers, ends) -> list[list[tuple[int, int, int]]]:
         """Per text, ``(item, end, distance)``: of each item found the best run, the first of equals.
