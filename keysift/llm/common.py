@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import string
+import sys
+import types
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,3 +50,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def per_process(name: str, key: object, make: Callable[[], object]):
+    """What ``make`` returns for ``key``, made once per Python worker, which runs one task after the
+    other. Tasks get their functions by value, so a global of a module would not last."""
+    store = sys.modules.setdefault("keysift_per_process", types.ModuleType("keysift_per_process"))
+    held = vars(store).get(name)
+    if held is None or held[0] != key:
+        held = (key, make())
+        setattr(store, name, held)
+    return held[1]

@@ -15,13 +15,15 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from keysift.llm.common import whole
+from keysift.llm.common import per_process, whole
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -34,7 +36,7 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 FILE_SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
-CACHED_PIECES = 400_000
+CACHED_PIECES = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -53,10 +55,10 @@ class Encoder:
     unsigned 32-bit integers. The memory holds ``CACHED_PIECES`` pieces and starts anew when full.
     """
 
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+    LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    MARKS = (".", ",")
 
     def __init__(self, path: str):
-        import numpy as np
         from tokenizers import Tokenizer
 
         # One thread per worker: Spark runs as many workers as there are cores.
@@ -66,75 +68,85 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _each(self, pieces: list[str]) -> Iterator[bytes]:
         encodings = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return (array.array("I", encoding.ids).tobytes() for encoding in encodings)
 
     def _learn_words(self, words: list[str]) -> None:
-        import numpy as np
-
         for first in range(0, len(words), 1000):
             some = words[first : first + 1000]
             (encoded,) = self._each([" ".join(some)])
             ends = (np.flatnonzero(self.ends[np.frombuffer(encoded, "<u4")]) + 1) * 4
             if len(ends) != len(some):  # a vocabulary that cuts words otherwise
-                self.words.update(zip(some, self._each(some)))
+                self.known.update(zip(some, self._each(some)))
                 continue
             begins = [0, *ends[:-1].tolist()]
-            self.words.update(zip(some, (encoded[a:b] for a, b in zip(begins, ends.tolist()))))
+            self.known.update(zip(some, (encoded[a:b] for a, b in zip(begins, ends.tolist()))))
 
     def _learn(self, pieces: list[str]) -> None:
-        plain, rest = [], []
+        known, marks, latin = self.known, self.MARKS, self.LATIN.fullmatch
+        words, marked, rest = set(), [], []
         for piece in pieces:
-            match = self.PLAIN.fullmatch(piece)
-            if match:
-                plain.append((piece, *match.groups()))
-            else:
+            word = piece[:-1] if piece[-1:] in marks else piece
+            if not (word.isascii() and word.isalpha() or latin(word)):
                 rest.append(piece)
-        wanted = {word for _, word, _ in plain} | {mark for _, _, mark in plain if mark}
-        self._learn_words(list(wanted.difference(self.words)))
-        words = self.words
-        for piece, word, mark in plain:
-            self.known[piece] = words[word] + words[mark] if mark else words[word]
-        self.known.update(zip(rest, self._each(rest)))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [text.replace("\n", " ").split(" ") for text in texts]
+                continue
+            if word is not piece:
+                marked.append(piece)
+            if word not in known:
+                words.add(word)
+        self._learn_words(list(words))
+        known.update(zip(rest, self._each(rest)))
+        if marked:
+            mark = dict(zip(marks, self._each(list(marks))))
+            for piece in marked:
+                known[piece] = known[piece[:-1]] + mark[piece[-1]]
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids of each."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = pieces.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = words.indices.to_numpy()
         if len(self.known) > CACHED_PIECES:
-            self.known, self.words = {}, {}
-        self._learn(list(set().union(*pieces).difference(self.known)))
-        return [b"".join(map(self.known.__getitem__, each)) for each in pieces]
+            self.known = {}
+        self._learn([piece for piece in distinct if piece not in self.known])
+        each = list(map(self.known.__getitem__, distinct))
+        flat = np.frombuffer(b"".join(each), "<u4")
+        lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts = np.cumsum(lengths) - lengths
+        counts = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])
+        offsets = np.asarray(pieces.offsets)
+        return flat[places], np.diff(ends[offsets - offsets[0]])
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        encoder = Encoder(path)
+        encoder = per_process("encoder", path, lambda: Encoder(path))
         part, row, start = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                piece = batch.slice(first, 500)
-                ids = [x + end for x in encoder(piece.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            for first in range(0, batch.num_rows, 1000):
+                piece = batch.slice(first, 1000)
+                ids, sizes = encoder(piece.column("text"))
+                ids = np.insert(ids, np.cumsum(sizes), end_id).view("<i4")
+                sizes = sizes + 1
                 starts = start + np.cumsum(sizes) - sizes
-                flat = np.frombuffer(b"".join(ids), "<i4")
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id").cast(pa.int64()),
-                        pa.array(np.full(len(ids), part, np.int32)),
-                        pa.array(np.arange(row, row + len(ids))),
+                        pa.array(np.full(len(sizes), part, np.int32)),
+                        pa.array(np.arange(row, row + len(sizes))),
                         pa.array(starts),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
                     ],
                     ["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"],
                 )
-                row += len(ids)
+                row += len(sizes)
                 start += int(sizes.sum())
 
     return run
@@ -185,8 +197,6 @@ def with_start(rows: DataFrame, path: str) -> DataFrame:
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
     for batch in batches:
         ids = batch.column("ids")
         flat, offsets = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
