@@ -12,6 +12,7 @@ each distinct word once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.llm.common import stored, whole
+from keysift.llm.common import per_process, stored, whole
 
 VOCABULARY = "piece_bpe_32k.model"
 ROWS_PER_LANGUAGE = 2_000
@@ -28,7 +29,7 @@ ROUNDS = 3
 SMOOTHING = 0.1
 START = "▁"  # marks the beginning of a word, in the vocabulary and here
 LONG = 32  # longer words are computed with logarithms, one by one
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000  # up to 8 languages, fewer for more
 UNDETERMINED = "und"
 
 
@@ -59,22 +60,32 @@ class Lattice:
     """Pieces of words. Piece number ``unknown`` is any one character that is no piece."""
 
     def __init__(self, pieces: list[str]):
-        self.number = {piece: i for i, piece in enumerate(pieces)}
         self.unknown = len(pieces)
         self.longest = max((len(p) for p in pieces), default=1)
-
-    def numbers(self, word: str) -> np.ndarray:
-        """Number of the piece from each character, of each length; ``unknown + 1`` where there is none."""
-        marked = START + word
-        n, get, none = len(marked), self.number.get, self.unknown + 1
-        table = np.full((n, self.longest), none, np.int32)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = get(marked[i:j])
-                if piece is not None:
-                    table[i, j - i - 1] = piece
-            if table[i, 0] == none:
-                table[i, 0] = self.unknown
+        # The number of each piece, and -1 for what only begins one: no longer piece begins otherwise.
+        self.number = {piece[:end]: -1 for piece in pieces for end in range(1, len(piece))}
+        self.number.update((piece, i) for i, piece in enumerate(pieces))
+
+    def tables(self, words: list[str]) -> np.ndarray:
+        """Of words of one length, the number of the piece from each character, of each length;
+        ``unknown + 1`` where there is none."""
+        n, longest, get = len(START + words[0]), self.longest, self.number.get
+        places, found = [], []
+        for row, word in enumerate(words):
+            marked, base = START + word, row * n * longest - 1
+            for i in range(n):
+                for j in range(i + 1, n + 1):
+                    piece = get(marked[i:j])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        places.append(base + j - i)
+                        found.append(piece)
+                base += longest
+        table = np.full((len(words), n, longest), self.unknown + 1, np.int32)
+        table.reshape(-1)[places] = found
+        first = table[:, :, 0]
+        first[first > self.unknown] = self.unknown
         return table
 
     def groups(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -86,7 +97,7 @@ class Lattice:
         for places in by_length.values():
             for first in range(0, len(places), 4096):
                 some = places[first : first + 4096]
-                yield some, np.stack([self.numbers(words[i]) for i in some])
+                yield some, self.tables([words[i] for i in some])
 
 
 def forward(tables: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
@@ -132,7 +143,7 @@ def word_scores(words: list[str], lattice: Lattice, probabilities: np.ndarray) -
         scores[places] = np.log(forward(tables, probabilities)[:, -1])
     for i, word in enumerate(words):
         if len(word) > LONG:
-            scores[i] = log_probability(lattice.numbers(word), probabilities)
+            scores[i] = log_probability(lattice.tables([word])[0], probabilities)
     return scores
 
 
@@ -245,7 +256,7 @@ class Scorer:
 
     def _learn(self, words: set[str]) -> None:
         new = list(words.difference(self.place))
-        if len(self.place) + len(new) > CACHED_WORDS:
+        if len(self.place) > CACHED_WORDS // max(1, len(self.model.languages) // 8):
             self.place, new = {}, list(words)
             self.scores = self.scores[:0]
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
@@ -274,10 +285,11 @@ def with_language(
     replaced. Each row is scored by itself, over its whole text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("lang string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(Model(*shared.value))
+        scorer = per_process("languages", key, lambda: Scorer(Model(*shared.value)))
         for texts in batches:
             rows = []
             for first in range(0, len(texts), 1000):
