@@ -28,7 +28,7 @@ from keysift.llm.common import per_process, whole
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 ORC_OPTIONS = {
-    "compression": "zlib",
+    "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "10000",
     "orc.create.index": "true",
@@ -51,8 +51,9 @@ class Encoder:
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     pieces between spaces and line ends, one after the other. Most pieces recur; each is encoded once.
     Most are one word, perhaps with a full stop or comma, which is a token of its own: such words are
-    encoded many at a time, and told apart by the tokens that end a word. Ids are little-endian
-    unsigned 32-bit integers. The memory holds ``CACHED_PIECES`` pieces and starts anew when full.
+    encoded many at a time, and told apart by the tokens that end a word. As the tokenizer lowers
+    letters, A-Z are lowered first, but in texts that may hold one of its special tokens; those are
+    encoded whole. Ids are unsigned 32-bit integers. The memory holds ``CACHED_PIECES`` pieces and starts anew when full.
     """
 
     LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -105,7 +106,19 @@ class Encoder:
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
-        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        special = pc.match_substring(texts, "<|")
+        lowered = pc.if_else(special, texts, pc.replace_substring(pc.ascii_lower(texts), "\n", " "))
+        pieces = pc.split_pattern(lowered, " ")
+        if pc.any(special).as_py():
+            pieces = pa.array(
+                [
+                    [text] if whole_text else each
+                    for text, whole_text, each in zip(
+                        texts.to_pylist(), special.to_pylist(), pieces.to_pylist()
+                    )
+                ],
+                pieces.type,
+            )
         words = pieces.flatten().dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = words.indices.to_numpy()
