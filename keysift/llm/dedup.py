@@ -4,9 +4,12 @@
 2. A signature of universal hash minima per node; its bands are hashed to buckets.
 3. Nodes that share a bucket are candidates. A bucket is compared with a few of its own members
    (hubs) at a time, and only across components found so far, so a bucket of n copies takes n
-   comparisons. What is still apart after a few rounds is compared in full.
-4. Signatures reject most false candidates, the full sets confirm the rest.
-5. Components by alternating large-star and small-star.
+   comparisons; the first round takes a few bands only. What is still apart after a few rounds is
+   compared in full. No pair is compared twice.
+4. A shingle that no other candidate has is in no intersection. Counting those bounds the similarity
+   of a pair from above, and pairs that cannot reach the threshold are not looked at.
+5. Signatures reject most false candidates, the full sets confirm the rest.
+6. Components by alternating large-star and small-star.
 
 No step gathers a bucket or a component in one task: minima are aggregated per task first, and the
 joins on buckets and nodes are plain equi-joins that adaptive execution can split.
@@ -23,23 +26,28 @@ from pyspark.sql import functions as F
 
 from keysift.llm.common import WORD, stored
 
-SHINGLE_SCHEMA = "doc_id long, text_hash long, n_shingles long, node binary, signature array<int>"
-ROUNDS = (1, 4, 16)  # hubs per bucket, then all that is left
+SHINGLE_SCHEMA = (
+    "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, "
+    "signature array<tinyint>"
+)
+# Bands and hubs per bucket of each round (None: all).
+ROUNDS = ((4, 1), (None, 1), (None, 8), (None, None))
 
 
 class MinHash(NamedTuple):
     """Shingle size in words, threshold in percent, bands and rows per band.
 
-    With 32 bands of 5 rows, two sets at the threshold of 80 % miss each other with probability
-    (1 - 0.8^5)^32 = 3e-6. A pair is dropped by its signatures only if fewer than ``screen`` of all
-    minima agree: at 60 % of 160, more than six standard deviations below the threshold.
+    With 48 bands of 7 rows, two sets at the threshold of 80 % miss each other with probability
+    (1 - 0.8^7)^48 = 1.3e-5, and two that share half meet in 0.4 buckets. Signatures keep a byte of
+    each minimum. A pair is dropped by its signatures only if fewer than ``screen`` of all bytes
+    agree: at 62 % of 336, more than eight standard deviations below the threshold.
     """
 
     words: int = 4
     percent: int = 80
-    bands: int = 32
-    rows: int = 5
-    screen: float = 0.6
+    bands: int = 48
+    rows: int = 7
+    screen: float = 0.62
     seed: int = 7
 
 
@@ -86,18 +94,31 @@ def shingles(hashes, words: int):
 
 
 def minima(values, a, b):
-    """Minima of the universal hashes (a x + b) mod 2^64, upper half, over a set."""
+    """Minima of the universal hashes a x + b mod 2^32, a odd, over a set."""
     import numpy as np
 
+    folded = (values ^ (values >> np.uint64(32))).astype(np.uint32)
     best = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for first in range(0, len(values), 2048):
-        block = (values[first : first + 2048, None] * a + b) >> np.uint64(32)
-        best = np.minimum(best, block.min(axis=0).astype(np.uint32))
+    for first in range(0, len(folded), 1024):
+        block = folded[first : first + 1024, None] * a
+        block += b
+        np.minimum(best, block.min(axis=0), out=best)
     return best
 
 
+def band_hashes(best, bands: int):
+    """One 64-bit hash per band of a signature, and per place of the band."""
+    import numpy as np
+
+    rows = best.astype(np.uint64).reshape(bands, -1)
+    total = np.arange(bands, dtype=np.uint64)
+    for k in range(rows.shape[1]):
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return total.view(np.int64)
+
+
 def signatures(docs: DataFrame, params: MinHash, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, text_hash, n_shingles, node, signature)`` per row; node null for empty sets."""
+    """``SHINGLE_SCHEMA`` per row; node, bands and signature are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -105,20 +126,27 @@ def signatures(docs: DataFrame, params: MinHash, doc_id: str, text: str) -> Data
 
         random = np.random.default_rng(params.seed)
         k = params.bands * params.rows
-        a = random.integers(0, 2**63, k, np.uint64) * np.uint64(2) + np.uint64(1)
-        b = random.integers(0, 2**63, k, np.uint64)
+        a = random.integers(0, 2**32, k, np.uint32) | np.uint32(1)
+        b = random.integers(0, 2**32, k, np.uint32)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 piece = batch.slice(first, 500)
-                sizes, nodes, signs = [], [], []
+                sizes, nodes, bands, signs = [], [], [], []
                 for hashes in word_hashes(piece.column("text").to_pylist()):
                     found = shingles(hashes, params.words)
                     sizes.append(len(found))
-                    nodes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                    signs.append(minima(found, a, b).view(np.int32) if len(found) else None)
+                    if len(found):
+                        best = minima(found, a, b)
+                        nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
+                        bands.append(band_hashes(best, params.bands))
+                        signs.append(best.astype(np.uint8).view(np.int8))
+                    else:
+                        for column in (nodes, bands, signs):
+                            column.append(None)
                 columns = [piece.column(0), piece.column(1), pa.array(sizes, pa.int64())]
-                columns += [pa.array(nodes, pa.binary()), pa.array(signs, pa.list_(pa.int32()))]
-                names = ["doc_id", "text_hash", "n_shingles", "node", "signature"]
+                columns += [pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                columns.append(pa.array(signs, pa.list_(pa.int8())))
+                names = ["doc_id", "text_hash", "n_shingles", "node", "bands", "signature"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(
@@ -148,17 +176,13 @@ def shingle_sets(docs: DataFrame, params: MinHash) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
 
 
-def buckets(nodes: DataFrame, params: MinHash) -> DataFrame:
-    """``(bucket, node, n_shingles)`` for each band of each node."""
-    hashes = [
-        F.xxhash64(F.lit(band), F.slice("signature", band * params.rows + 1, params.rows))
-        for band in range(params.bands)
-    ]
-    return nodes.select(F.explode(F.array(*hashes)).alias("bucket"), "node", "n_shingles")
+def buckets(nodes: DataFrame) -> DataFrame:
+    """``(band, bucket, node, n_shingles)`` for each band of each node."""
+    return nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n_shingles")
 
 
 def agreement(one: str, other: str) -> Column:
-    """Number of equal minima in two signatures."""
+    """Number of equal bytes in two signatures."""
     equal = F.zip_with(one, other, lambda x, y: (x == y).cast("int"))
     return F.aggregate(equal, F.lit(0), lambda total, x: total + x)
 
@@ -212,16 +236,28 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(now.select("b", F.col("b").alias("root")).distinct())
 
 
-def candidate_pairs(members: DataFrame, roots: DataFrame, hubs: int | None, percent: int) -> DataFrame:
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """``(node, n, n_shared)``: the size of each set, and how many of its shingles another one has."""
+    single = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    single = single.agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("n_own"))
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    n_shared = F.col("n") - F.coalesce("n_own", F.lit(0))
+    return sizes.join(own, "node", "left").select("node", "n", n_shared.alias("n_shared"))
+
+
+def candidate_pairs(
+    members: DataFrame, roots: DataFrame, tried: DataFrame | None, hubs: int | None, percent: int
+) -> DataFrame:
     """Pairs of one bucket that are not in one component, ``(a, b, ra, rb)`` with their roots.
 
-    With ``hubs`` given, each bucket's members are paired with that many of them at most, one per
-    hash slot; with None, all with all. Pairs too unequal in size to be alike are left out.
+    Pairs of ``tried`` are left out. With ``hubs`` given, each bucket's members are paired with that many of them at most, one per
+    hash slot; with None, all with all. Pairs whose shared shingles cannot make them alike are left out.
     """
     state = members.join(roots, "node")
     ends = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     parted = state.join(ends.where("low <> high").select("bucket"), "bucket")
-    columns = ("node", "root", "n_shingles")
+    columns = ("node", "root", "n_shingles", "n_shared")
     ours = parted.select("bucket", *[F.col(c).alias(f"{c}_a") for c in columns])
     if hubs is None:
         other = parted
@@ -230,14 +266,14 @@ def candidate_pairs(members: DataFrame, roots: DataFrame, hubs: int | None, perc
         other = parted.groupBy("bucket", slot.alias("slot"))
         other = other.agg(F.min(F.struct(*columns)).alias("hub")).select("bucket", "hub.*")
     theirs = other.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
-    sizes = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest(
-        "n_shingles_a", "n_shingles_b"
-    ) * F.lit(percent)
-    apart = (F.col("root_a") != F.col("root_b")) & sizes
+    most = F.least("n_shared_a", "n_shared_b")
+    union = F.col("n_shingles_a") + F.col("n_shingles_b") - most
+    alike = most * 100 >= union * F.lit(percent)
+    apart = (F.col("root_a") != F.col("root_b")) & alike
     if hubs is None:
         apart = apart & (F.col("node_a") < F.col("node_b"))
     first = F.col("node_a") < F.col("node_b")
-    return (
+    pairs = (
         ours.join(theirs, "bucket")
         .where(apart)
         .select(
@@ -248,6 +284,7 @@ def candidate_pairs(members: DataFrame, roots: DataFrame, hubs: int | None, perc
         )
         .distinct()
     )
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, text: str) -> DataFrame:
@@ -259,13 +296,14 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
         .agg(
             first.alias("row"),
             F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
             F.first("signature").alias("signature"),
         ),
         "classes",
     )
-    banded = buckets(classes, params)
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(banded.join(shared, "bucket"), "members")
+    banded = buckets(classes)
+    met = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = stored(banded.join(met, "bucket"), "bucket-members")
     roots = stored(members.select("node", F.col("node").alias("root")).distinct(), "nodes")
     signs = classes.join(roots, "node", "left_semi")
     rows = signs.select("node", "row.*")
@@ -275,10 +313,18 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     same = texts["d"].eqNullSafe(rows["doc_id"]) & (texts["h"] == rows["text_hash"])
     sets = shingle_sets(texts.join(rows, same), params).dropDuplicates(["node"])
     sets = stored(sets, "sets")
-    for hubs in (*ROUNDS, None):
-        pairs = stored(candidate_pairs(members, roots, hubs, params.percent), "pairs")
+    shared = shared_counts(sets).where(F.col("n_shared") * 100 >= F.col("n") * params.percent)
+    members = members.join(shared.select("node", "n_shared"), "node")
+    members = stored(members, "members")
+    tried = None
+    for bands, hubs in ROUNDS:
+        some = members if bands is None else members.where(F.col("band") < bands)
+        pairs = candidate_pairs(some, roots, tried, hubs, params.percent)
+        pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             continue
+        own = pairs.select("a", "b")
+        tried = own if tried is None else tried.union(own)
         links = confirmed(pairs, signs, sets, params)
         moved = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))

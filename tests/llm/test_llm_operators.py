@@ -347,7 +347,7 @@ def test_near_duplicates_links_that_no_hub_has(spark, monkeypatch):
     """A chain in one bucket: each text is near the next alone."""
     words = [f"w{i}" for i in range(120)]
     rows = [(100 - i, " ".join(words[i * 6 : i * 6 + 70])) for i in range(9)]
-    params = dedup.MinHash(words=1, bands=64, rows=1)
+    params = dedup.MinHash(words=1, bands=64, rows=2)
     found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows, 1)
     assert len({r.component_id for r in found}) == 1
