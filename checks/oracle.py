@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 
+from checks.queries import STORED_THRESHOLD, UNUSUAL
 from keysift.functions import chars
 from keysift.functions.profile import LAYOUT, RATIOS, SHAPES
 from keysift.operators.evaluate import CLASS_NAMES
 from keysift.operators.rules import DEFAULT_RULES
 from keysift.operators.synth import NEGATIVE_TEMPLATES, POSITIVE_TEMPLATES
+from keysift.plans import reports
+from keysift.plans.config import TrainingConfig
 
 WS = chars.WHITESPACE
 
@@ -146,6 +149,20 @@ detected AS (SELECT {keys}, confidence >= 0.7::DOUBLE AS has_credential, confide
 _SCORE = f"least(1.0::DOUBLE, {count_of('0-9')} / nullif(length(text), 0) * 20.0::DOUBLE)"
 
 
+def _masked(rules: list[tuple[str, str]]) -> str:
+    masked = "text"
+    for name, pattern in rules:
+        masked = f"regexp_replace({masked}, {quote(pattern)}, {quote(f'[{name}]')}, 'g')"
+    return masked
+
+
+_UNUSUAL = (
+    "CASE doc_id % 3 "
+    + " ".join(f"WHEN {i} THEN {quote(plain)}" for i, plain in enumerate(UNUSUAL.values()))
+    + " END"
+)
+
+
 def _detect(rules, **kwargs) -> str:
     return f"WITH {detected(rules, **kwargs)} SELECT * FROM detected"
 
@@ -321,6 +338,9 @@ ORACLE: dict[str, str] = {
     "match_spans": f"WITH {spans(_DEFAULT)} SELECT * FROM spans",
     "spans_exploded": f"""WITH {_CHAT}, {spans(_DEFAULT, 'everything', 'conv_id, turn')}
       SELECT conv_id, turn, start, "end", type, match AS slice FROM spans""",
+    "rule_stats": f"""WITH {spans(_DEFAULT)} SELECT type, count(*) AS matches, count(DISTINCT doc_id) AS texts
+      FROM spans GROUP BY type""",
+    "mask_flagged": f"SELECT doc_id, {_masked(_DEFAULT)} AS masked FROM documents",
     "detect_rules": _detect(_DEFAULT),
     "detect_custom_rules": _detect(_CUSTOM),
     "detect_hybrid": _detect(_DEFAULT, score=_SCORE),
@@ -330,14 +350,15 @@ ORACLE: dict[str, str] = {
       FROM detected d JOIN documents USING (doc_id) GROUP BY ALL""",
     "rules_from_json": f"""WITH {spans(_JSON)} SELECT doc_id, rule_order, type, start, "end" FROM spans""",
     "export_rules": _rules_object(),
-    "detect_from_artifacts": _detect(_DEFAULT),
+    "detect_from_artifacts": _detect(_DEFAULT, score=_SCORE).replace("0.7::DOUBLE", f"{STORED_THRESHOLD}::DOUBLE"),
     "detect_stream": _detect(_DEFAULT, source="conversations", keys="conv_id, turn", score=_SCORE),
     "ingest_jsonl": _EXAMPLES,
     "ingest_jsonl_repair": """SELECT doc_id, text, true AS is_credential, NULL::VARCHAR AS rejected FROM documents
       WHERE lang <> 'de' UNION ALL SELECT doc_id, lang, false, NULL FROM documents WHERE lang = 'fr'
       UNION ALL SELECT doc_id, text, true, NULL FROM documents WHERE lang = 'de'
       UNION ALL SELECT doc_id, NULL, NULL, '{"text":' FROM documents WHERE lang = 'de'""",
-    "ingest_csv": f"SELECT {strip('text')} AS text, n_chars % 3 - 1 <> 0 AS is_credential, 'csv_import' AS source FROM documents",
+    "ingest_csv": f"""SELECT {strip('text')} AS text, CASE WHEN lang <> 'es' THEN n_chars % 3 - 1 <> 0 END AS is_credential,
+      'csv_import' AS source, CASE WHEN lang = 'es' THEN '' END AS bad_label FROM documents WHERE lang <> 'fr'""",
     "ingest_lines": f"""SELECT text, false AS is_credential, true AS named, count(*) AS n FROM
       (SELECT {strip('line')} AS text FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents))
       WHERE text <> '' GROUP BY text""",
@@ -362,7 +383,7 @@ ORACLE: dict[str, str] = {
     "stratified_split": f"""WITH labelled AS (SELECT doc_id, quality AS label FROM labels),
       {split_of('labelled')} SELECT doc_id, label, split FROM split_rows""",
     "split_roundtrip": f"WITH {_LABELLED}, {split_of('labelled')} SELECT doc_id, text, label, split FROM split_rows",
-    "normalize_text": f"SELECT doc_id, {_NORMAL} AS text FROM documents",
+    "normalize_text": f"SELECT doc_id, {_NORMAL} || {_UNUSUAL} AS text FROM documents",
     "char_wb_ngrams": f"""WITH {_GRAMS}, digests AS (SELECT doc_id, count(*)::INT AS n,
       md5(string_agg(gram, '|' ORDER BY gram)) AS digest FROM grams GROUP BY doc_id)
       SELECT doc_id, coalesce(n, 0) AS n, coalesce(digest, md5('')) AS digest
@@ -376,7 +397,12 @@ ORACLE: dict[str, str] = {
     "export_vocab": f"""WITH {_FIT} SELECT md5(string_agg(gram, '|' ORDER BY idx)) AS digest, count(*)::INT AS n,
       '1-3' AS ngram_range, 'l2' AS norm, 0.95::DOUBLE AS max_df, 'char_wb' AS analyzer FROM vocabulary""",
     "export_config": f"""WITH {_FIT} SELECT 'detector' AS model_name, count(*)::INT AS input_dim,
-      string_agg(gram, '|' ORDER BY idx) AS feature_names, 0.7::DOUBLE AS confidence_threshold FROM vocabulary""",
+      string_agg(gram, '|' ORDER BY idx) AS feature_names, 0.7::DOUBLE AS confidence_threshold,
+      {quote("|".join(sorted(f"{name}={pattern}" for name, pattern in _DEFAULT)))} AS patterns,
+      {quote("|".join(sorted(f"{key}={value}" for key, value in TrainingConfig().as_dict().items())))} AS config
+      FROM vocabulary""",
+    "raw_vector_without_idf": f"""WITH {_FIT}, {_RAW} SELECT doc_id, idx,
+      round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw_counts""",
     "raw_ngram_vector": f"""WITH {_FIT}, {_RAW} SELECT doc_id, idx,
       round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) * idf, 6) AS weight FROM raw_counts""",
     "eval_confusion": f"""{_SCORED} SELECT label, prediction, count(s.label) AS n
@@ -395,4 +421,23 @@ ORACLE: dict[str, str] = {
       WHERE i = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
       UNION ALL SELECT NULL, 0, 0, 0.0, 0.0""",
     "auc": f"{_SCORED} SELECT round(auc, 6) AS auc FROM area",
+    "train_forest": f"""WITH {_LABELLED}, {split_of('labelled')},
+      tested AS (SELECT label FROM split_rows WHERE split = 'test')
+      SELECT class, count(label) AS support, true AS sound FROM
+      (VALUES {", ".join(f"({quote(name)}, {i})" for i, name in enumerate(CLASS_NAMES))}) c(class, label)
+      LEFT JOIN tested USING (label) GROUP BY class
+      UNION ALL SELECT class, (SELECT count(*) FROM tested), true
+      FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) a(class)""",
+    "train_report": f"""SELECT value FROM (VALUES {", ".join(
+        f"({quote(line)})"
+        for line in [
+            reports.REPORT,
+            reports.MATRIX,
+            reports.SETTINGS,
+            *[f"{key}: {value}" for key, value in TrainingConfig().as_dict().items()],
+        ]
+    )}) lines(value)""",
+    "score_model": f"""WITH {detected(_DEFAULT)} SELECT doc_id, has_credential AS rule_hit, true AS sound,
+      CASE WHEN has_credential THEN matches END AS matches, positions FROM detected""",
+    "model_roundtrip": "SELECT doc_id, true AS same FROM documents",
 }

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from keysift.functions import chars, profile
 from keysift.functions.normalize import normalize_text
 from keysift.operators import evaluate as ev
-from keysift.operators.detect import detect, match_spans, matches_any_rule, result_json
+from keysift.operators.detect import (
+    detect,
+    mask_flagged,
+    match_spans,
+    matches_any_rule,
+    result_json,
+    rule_stats,
+)
 from keysift.operators.examples import (
     append_examples,
     class_deficit,
@@ -36,6 +43,7 @@ from keysift.operators.vectorize import (
     vectorizer,
     with_features,
 )
+from keysift.plans import reports
 from keysift.plans.config import TrainingConfig
 from keysift.plans.detector import Detector, load_detector
 from keysift.plans.training import fit_text_model, load_model, run_training, save_model
@@ -47,11 +55,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Custom rules of the test queries; the oracle spells the same matches for its own engine.
 CUSTOM_RULES = {"assignment": r"\w+ ?= ?\"\w+\"", "address": r"\d+\.\d+\.\d+\.\d+"}
+STORED_THRESHOLD = 0.1
 RULES_JSON = (
     r'{"address": {"pattern": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "flags": 32},'
     r' "shout": {"pattern": "token|es[oa]s", "flags": 2}, "dollars": "[$]{3}", "ignored": 5}'
 )
-SMALL_FOREST = TrainingConfig(rf_n_estimators=20, rf_max_depth=8)
+# The test tables are small files of one row group, read by one task each unless told otherwise.
+TASKS = 8
+# Texts with characters that decompose to several, or lie beyond the usual alphabets, and what is left.
+UNUSUAL = {"ﬁle ½ ＡＰＩ": "file 1⁄2 api", "Ｋｅｙ № ﬃ": "key No ffi", "㎏ ² ™": "kg 2 TM"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +71,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), TASKS)
 
 
 def flat(detected: DataFrame, *keys: str) -> DataFrame:
@@ -157,7 +169,7 @@ def match_spans_query(spark, sf_dir):
 
 def spans_exploded(spark, sf_dir):
     """Positions of every chat message, with the text they cut out."""
-    chat = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    chat = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), TASKS)
     everything = chat.unionByName(
         documents(spark, sf_dir).select(
             F.col("doc_id").alias("conv_id"), F.lit(-1).cast("bigint").alias("turn"), "text"
@@ -169,6 +181,14 @@ def spans_exploded(spark, sf_dir):
     return spans.select("conv_id", "turn", "p.start", "p.end", "p.type", cut.alias("slice"))
 
 
+def rule_stats_query(spark, sf_dir):
+    return rule_stats(documents(spark, sf_dir), "doc_id")
+
+
+def mask_flagged_query(spark, sf_dir):
+    return mask_flagged(documents(spark, sf_dir)).drop("text")
+
+
 def detect_rules(spark, sf_dir):
     return flat(detect(documents(spark, sf_dir)), "doc_id")
 
@@ -209,12 +229,17 @@ def export_rules(spark, sf_dir):
 
 
 def detect_from_artifacts(spark, sf_dir):
-    """Export rules and threshold, load a detector from the folder, and run it."""
+    """Store rules and a threshold other than the default, load a detector from the folder, and run it
+    with a score that the threshold decides on."""
     folder = scratch_path(spark, "artifacts")
     paths = artifacts.ArtifactPaths.of(folder)
     artifacts.write_rules(rules_table(spark), paths.patterns)
+    vocabulary = spark.createDataFrame([("abc", 0, 1.0)], "gram STRING, idx INT, idf DOUBLE")
+    settings = artifacts.config_json(vocabulary, {}, rules_table(spark), threshold=STORED_THRESHOLD)
+    artifacts.write_config(settings, paths.config)
     loaded = load_detector(spark, folder)
-    return flat(loaded.detect(documents(spark, sf_dir)), "doc_id")
+    found = detect(documents(spark, sf_dir), "text", loaded.rules, digit_score, loaded.threshold)
+    return flat(found, "doc_id")
 
 
 def detect_stream_query(spark, sf_dir):
@@ -243,7 +268,7 @@ def ingest_jsonl(spark, sf_dir):
 def _damaged_lines(spark, sf_dir) -> DataFrame:
     """A JSONL line per document: French ones with a second object glued on, German ones with
     broken text glued on, Spanish ones inside blanks."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"), TASKS)
     line = F.to_json(
         F.struct("text", F.lit(True).alias("is_credential"), F.col("source").alias("source"))
     )
@@ -270,11 +295,13 @@ def ingest_jsonl_repair(spark, sf_dir):
 
 def ingest_csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    docs = spread(table(spark, sf_dir, "documents"))
-    rows = docs.select("text", (F.col("n_chars") % 3 - 1).alias("label"), "lang")
-    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
-    good, _ = files.split_rejects(files.read_csv(spark, path))
-    return good
+    docs = spread(table(spark, sf_dir, "documents"), TASKS)
+    label = F.when(F.col("lang") == "es", F.lit("")).otherwise((F.col("n_chars") % 3 - 1).cast("string"))
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    # A French document is a row that ends after the text, a Spanish one has an empty label.
+    line = F.when(F.col("lang") == "fr", quoted).otherwise(F.concat_ws(",", quoted, label, F.col("lang")))
+    docs.select(line.alias("value")).write.text(path)
+    return files.read_csv(spark, path, has_header=False)
 
 
 def ingest_lines(spark, sf_dir):
@@ -300,7 +327,7 @@ def append_examples_query(spark, sf_dir):
     """Two labelled batches appended to the same folder."""
     path = scratch_path(spark, "append")
     append_examples(label_examples(documents(spark, sf_dir), False), path)
-    chat = spread(table(spark, sf_dir, "conversations"))
+    chat = spread(table(spark, sf_dir, "conversations"), TASKS)
     append_examples(label_examples(chat, True, "user_input"), path)
     return files.read_jsonl(spark, path)
 
@@ -346,7 +373,10 @@ def split_roundtrip(spark, sf_dir):
 
 
 def normalize_text_query(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", normalize_text(F.col("text")).alias("text"))
+    """All documents, each followed by texts that need the full decomposition."""
+    suffix = F.create_map(*[F.lit(x) for i, text in enumerate(UNUSUAL) for x in (i, text)])
+    text = F.concat("text", suffix[(F.col("doc_id") % len(UNUSUAL)).cast("int")])
+    return documents(spark, sf_dir).select("doc_id", normalize_text(text).alias("text"))
 
 
 def char_wb_ngrams(spark, sf_dir):
@@ -397,13 +427,31 @@ def export_vocab(spark, sf_dir):
     )
 
 
+def raw_vector_without_idf(spark, sf_dir):
+    """Raw vectors from a vectoriser file that has no idf: every gram weighs 1."""
+    docs, path = documents(spark, sf_dir), scratch_path(spark, "vocabulary")
+    json = artifacts.vocabulary_json(fit_vocabulary(docs))
+    plain = F.regexp_replace("value", r'"idf":\[[^\]]*\],', "")
+    json.select(plain.alias("value")).coalesce(1).write.text(path)
+    vectors = with_features(docs, vectorizer(artifacts.read_vocabulary(spark, path)[0], "raw"), mode="raw")
+    return vector_weights(vectors, ["doc_id"]).withColumn("weight", F.round("weight", 6))
+
+
 def export_config(spark, sf_dir):
     vocabulary = fit_vocabulary(documents(spark, sf_dir))
     config = TrainingConfig().as_dict()
     json = artifacts.config_json(vocabulary, config, rules_table(spark), "detector")
-    schema = "model_name STRING, input_dim INT, feature_names ARRAY<STRING>, confidence_threshold DOUBLE"
+    schema = """model_name STRING, input_dim INT, feature_names ARRAY<STRING>, confidence_threshold DOUBLE,
+        patterns MAP<STRING,STRING>, config MAP<STRING,STRING>"""
     c = json.select(F.from_json("value", schema).alias("c")).select("c.*")
-    return c.withColumn("feature_names", F.array_join("feature_names", "|"))
+    maps = {
+        name: F.array_join(
+            F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat_ws("=", e["key"], e["value"])),
+            "|",
+        )
+        for name in ("patterns", "config")
+    }
+    return c.withColumns({"feature_names": F.array_join("feature_names", "|"), **maps})
 
 
 def raw_ngram_vector(spark, sf_dir):
@@ -464,32 +512,47 @@ def auc(spark, sf_dir):
 
 
 def train_forest(spark, sf_dir):
-    """Train on the labelled documents and report on the held-out share."""
-    return run_training(labelled(spark, sf_dir), SMALL_FOREST, key="doc_id").report()
+    """Train on the labelled documents and report on the held-out share: the support of each class, and
+    whether the measures lie between 0 and 1. Which trees grow is the library's choice."""
+    rows = run_training(labelled(spark, sf_dir), key="doc_id").report()
+    sound = [F.coalesce(F.col(m).between(0, 1), F.lit(True)) for m in ("precision", "recall", "f1")]
+    return rows.select("class", "support", (sound[0] & sound[1] & sound[2]).alias("sound"))
 
 
 def train_report(spark, sf_dir):
-    result = run_training(labelled(spark, sf_dir), SMALL_FOREST, key="doc_id")
-    lines = result.report_lines()
-    return spark.createDataFrame(list(enumerate(lines)), "line INT, value STRING")
+    """The lines of the report that do not depend on the trees: headings and settings."""
+    lines = run_training(labelled(spark, sf_dir), key="doc_id").report_lines()
+    start = lines.index(reports.SETTINGS)
+    kept = [line for line in lines[:start] if line in (reports.REPORT, reports.MATRIX)]
+    return spark.createDataFrame([(line,) for line in kept + lines[start:]], "value STRING")
 
 
 def score_model(spark, sf_dir):
-    """Rules first, forest second, over all documents."""
-    model = fit_text_model(labelled(spark, sf_dir), SMALL_FOREST)
+    """Rules first, forest second, over all documents: what the rules find, and whether the rest has a
+    confidence from 0 to 1 that decides."""
+    model = fit_text_model(labelled(spark, sf_dir), TrainingConfig())
     detector = Detector(as_rules(None), model)
-    return flat(detector.detect(documents(spark, sf_dir)), "doc_id")
+    found = detector.detect(documents(spark, sf_dir))
+    hit = F.size("match_positions") > 0
+    over = F.col("confidence") >= detector.threshold
+    text_itself = F.when(over, F.array("text")).otherwise(F.array().cast("array<string>"))
+    decided = (F.col("has_credential") == over) & F.col("confidence").between(0, 1)
+    decided = decided & (hit | (F.col("matches") == text_itself))
+    return flat(found.withColumns({"rule_hit": hit, "sound": decided}), "doc_id", "rule_hit", "sound").select(
+        "doc_id", "rule_hit", "sound", F.when(F.col("rule_hit"), F.col("matches")).alias("matches"), "positions"
+    )
 
 
 def model_roundtrip(spark, sf_dir):
-    """Scores before and after storing the model, side by side."""
-    result = run_training(labelled(spark, sf_dir), SMALL_FOREST, key="doc_id")
+    """Whether scores are the same before and after storing the model."""
+    result = run_training(labelled(spark, sf_dir), key="doc_id")
     folder = scratch_path(spark, "model")
     save_model(result, folder)
     docs = documents(spark, sf_dir)
     before = result.model.predict(docs).select("doc_id", F.col("confidence").alias("before"))
     after = load_model(spark, folder).predict(docs).select("doc_id", F.col("confidence").alias("after"))
-    return before.join(after, "doc_id").withColumn("same", F.col("before") == F.col("after"))
+    same = (F.col("before") == F.col("after")).alias("same")
+    return before.join(after, "doc_id").select("doc_id", same)
 
 
 QUERIES: dict[str, Query] = {
@@ -505,6 +568,8 @@ QUERIES: dict[str, Query] = {
     "rule_matches": rule_matches,
     "match_spans": match_spans_query,
     "spans_exploded": spans_exploded,
+    "rule_stats": rule_stats_query,
+    "mask_flagged": mask_flagged_query,
     "detect_rules": detect_rules,
     "detect_custom_rules": detect_custom_rules,
     "detect_hybrid": detect_hybrid,
@@ -535,6 +600,7 @@ QUERIES: dict[str, Query] = {
     "export_vocab": export_vocab,
     "export_config": export_config,
     "raw_ngram_vector": raw_ngram_vector,
+    "raw_vector_without_idf": raw_vector_without_idf,
     "eval_confusion": eval_confusion,
     "eval_report": eval_report,
     "eval_summary": eval_summary,

@@ -54,12 +54,12 @@ def needs_full_decomposition(text: Column) -> Column:
     return (rest != "") & rest.rlike(f"[{_accent_table()[2]}]")
 
 
-def strip_accents(text: Column, exact: bool = False) -> Column:
+def strip_accents(text: Column, exact: bool = True) -> Column:
     """Decompose (NFKD) and drop combining marks.
 
-    ``translate`` covers the accented letters of the Latin, Greek, Cyrillic and other alphabets.
-    With ``exact`` the few texts holding anything else that decomposes go to Python in Arrow
-    batches; all other rows send a null.
+    ``translate`` covers the accented letters of the Latin, Greek, Cyrillic and other alphabets. The
+    few texts holding anything else that decomposes go to Python in Arrow batches; all other rows
+    send a null. Without ``exact`` what ``translate`` does not cover stays.
     """
     source, targets, _ = _accent_table()
     native = F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(text, source, targets)).otherwise(text)
@@ -83,5 +83,5 @@ def strip_accents(text: Column, exact: bool = False) -> Column:
     return F.coalesce(decompose(F.when(rare, text)), native)
 
 
-def normalize_text(text: Column, exact: bool = False) -> Column:
+def normalize_text(text: Column, exact: bool = True) -> Column:
     return strip_accents(F.lower(text), exact)

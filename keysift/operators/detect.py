@@ -88,6 +88,29 @@ def match_spans(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
     )
 
 
+def rule_stats(df: DataFrame, key: str, text: str = "text", rules=None) -> DataFrame:
+    """Per rule that matches: ``(type, matches, texts)``, all matches and the keys of rows with one."""
+    found = match_spans(df.select(key, text), text, rules)
+    return found.groupBy("type").agg(
+        F.count("*").alias("matches"), F.count_distinct(key).alias("texts")
+    )
+
+
+def mask_flagged(df: DataFrame, text: str = "text", rules=None, out: str = "masked") -> DataFrame:
+    """Add ``out``: the text with what each rule matches replaced by the rule's name in brackets.
+
+    Rules apply one after the other. A text without a match stays as it is and costs one test.
+    """
+    rules = as_rules(rules)
+    check_rules(df.sparkSession, rules)
+    masked = F.col(text)
+    for rule in rules:
+        name = f"[{rule.name}]".replace("\\", r"\\").replace("$", r"\$")
+        masked = F.regexp_replace(masked, rule.java_pattern(), name)
+    hit = matches_any_rule(F.col(text), rules)
+    return df.withColumn(out, F.when(hit, masked).otherwise(F.col(text)))
+
+
 def _with_result(df: DataFrame, columns: list[str], has: Column, matches: Column) -> DataFrame:
     positions = F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["type"]))
     return df.select(
@@ -110,9 +133,16 @@ def detect(
 
     ``match_positions`` lists the rule matches in rule order, then by position. A rule match decides
     with confidence 1. Only texts without one reach ``score``; without a scorer they get confidence
-    0. A text at or above the threshold is itself the match.
+    0. A text at or above the threshold is itself the match. Columns of the input by the names of the
+    results are replaced.
+
+    ``text_chars``, the length of the raw text, is there for scorers that treat long texts apart: a
+    filter on it reaches the scan, so no text is searched twice.
     """
-    found = _scan(df, text, as_rules(rules))
+    taken = {name.lower() for name in [*RESULT_COLUMNS, "score_text", "text_chars"]} - {text.lower()}
+    df = df.select(*[c for c in df.columns if c.lower() not in taken])
+    measured = df if score is None else df.withColumn("text_chars", F.length(text))
+    found = _scan(measured, text, as_rules(rules))
     hit = F.col("_hit")
     rule_matches = F.col("_spans.match")
     if score is None:

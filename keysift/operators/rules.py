@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +91,18 @@ def as_rules(rules: Mapping[str, str] | Iterable[Rule] | DataFrame | None) -> li
     """Accept a ``{name: pattern}`` mapping, rules, a rule table, or None for the default catalogue.
 
     Given rules replace the default ones. A rule set is configuration, a handful of rows that end
-    up as literals in the plan, so a rule table is collected here.
+    up as literals in the plan, so a rule table is collected here. Names must differ: a match is told
+    by the name of its rule.
     """
+    found = _listed(rules)
+    names = [rule.name for rule in found]
+    twice = sorted({name for name in names if names.count(name) > 1})
+    if twice:
+        raise ValueError(f"rules of the same name: {', '.join(twice)}")
+    return found
+
+
+def _listed(rules: Mapping[str, str] | Iterable[Rule] | DataFrame | None) -> list[Rule]:
     if rules is None:
         return list(DEFAULT_RULES)
     if isinstance(rules, DataFrame):
@@ -105,11 +116,23 @@ def as_rules(rules: Mapping[str, str] | Iterable[Rule] | DataFrame | None) -> li
     return list(rules)
 
 
+# Texts with borders of words, lines, digits and letters.
+PROBES = ("", "a", " a b1.\n\n_=\"é\" A-9\tz")
+
+
 def check_rules(spark: SparkSession, rules: list[Rule]) -> None:
-    """Reject patterns the engine cannot compile, and those that match the empty string."""
+    """Reject patterns the engine cannot compile, and those that match no characters in some probe:
+    the empty string, and texts with borders of words and lines."""
     if not rules:
         return
-    tests = [F.lit("").rlike(rule.java_pattern()) for rule in rules]
+
+    def without_width(rule: Rule, probe: str) -> Column:
+        found = F.regexp_extract_all(F.lit(probe), F.lit(rule.java_pattern()), F.lit(0))
+        return F.array_contains(found, "")
+
+    tests = [
+        reduce(lambda a, b: a | b, [without_width(rule, probe) for probe in PROBES]) for rule in rules
+    ]
     matched = spark.range(1).select(F.array(*tests)).first()[0]
     for rule, empty in zip(rules, matched):
         if empty:

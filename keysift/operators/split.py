@@ -9,7 +9,8 @@ from keysift.session import ensure_checkpoint_dir
 
 
 def _hash(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """A null key is one key, as any other value is."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def _test_quotas(sizes: DataFrame, label: str, test_size: float) -> DataFrame:

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +33,7 @@ class VectorizerParams:
     min_df: int = 2
     max_df: float = 0.95
     max_features: int = 1500
-    exact_accents: bool = False
+    exact_accents: bool = True
 
 
 # Texts longer than this are cut into pieces of this size, which bounds the memory of a task.
@@ -119,8 +118,8 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams | None = None, text:
     Keeps grams within the document frequency bounds, of those the ``max_features`` most frequent
     (ties by gram), numbered in gram order. ``idf = ln((1 + n) / (1 + df)) + 1``.
 
-    Like any fit this runs at once: one pass over the texts, whose counts are stored. The table that
-    comes back is computed from those.
+    Like any fit this runs at once: one pass over the texts, whose counts are stored, as is the table
+    that comes back.
     """
     params = params or VectorizerParams()
     ensure_checkpoint_dir(df.sparkSession)
@@ -133,20 +132,21 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams | None = None, text:
     )
     # At most max_features rows from here on, so one task may number them.
     top = kept.orderBy(F.desc("tf"), "gram").limit(params.max_features)
-    return top.select(
+    numbered = top.select(
         "gram",
         (F.row_number().over(Window.orderBy("gram")) - 1).alias("idx"),
         "df",
         "tf",
         (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf"),
     )
+    return numbered.checkpoint()
 
 
 def vectorizer(vocabulary: DataFrame, mode: str = "tfidf") -> PipelineModel:
     """Pipeline from an array column ``grams`` to a sparse vector column ``features``.
 
     The vocabulary holds at most ``max_features`` rows and is read to the driver, as any fitted
-    MLlib model is.
+    MLlib model is. A gram without an idf has weight 1.
     """
     rows = vocabulary.select("gram", "idf").orderBy("idx").collect()
     if not rows:
@@ -154,7 +154,7 @@ def vectorizer(vocabulary: DataFrame, mode: str = "tfidf") -> PipelineModel:
     counts = CountVectorizerModel.from_vocabulary(
         [row.gram for row in rows], inputCol="grams", outputCol="_counts"
     )
-    idf = Vectors.dense([row.idf for row in rows])
+    idf = Vectors.dense([1.0 if row.idf is None else row.idf for row in rows])
     if mode == "raw":
         unit = Normalizer(inputCol="_counts", outputCol="_unit")
         weigh = ElementwiseProduct(scalingVec=idf, inputCol="_unit", outputCol="features")
@@ -171,17 +171,19 @@ def with_features(
     text: str = "text",
     mode: str = "tfidf",
     piece_chars: int = PIECE_CHARS,
+    chars: Column | None = None,
 ) -> DataFrame:
     """Add the vector ``features``. Grams outside the vocabulary are dropped, and a text of none, or
     a null, gets the zero vector.
 
     Map-only, but for texts longer than a piece: their pieces are counted one by one and summed per
-    text. On a stream every text is taken whole.
+    text. ``chars`` tells what is long where ``text`` is itself costly to compute: its length, or that
+    of the column it comes from. On a stream every text is taken whole.
     """
     params = params or VectorizerParams()
     if df.isStreaming:
         return _features_of_whole(df, model, params, text, mode)
-    is_long = F.coalesce(F.length(text) > piece_chars, F.lit(False))
+    is_long = F.coalesce((F.length(text) if chars is None else chars) > piece_chars, F.lit(False))
     whole = _features_of_whole(df.where(~is_long), model, params, text, mode)
     cut = _features_of_pieces(df.where(is_long), model, params, text, mode, piece_chars)
     return whole.unionByName(cut)
@@ -217,5 +219,13 @@ def _features_of_pieces(
 
 def vector_weights(df: DataFrame, keys: list[str]) -> DataFrame:
     """The non-zero entries of ``features`` as rows ``(*keys, idx, weight)``."""
-    entries = df.select(*keys, F.posexplode(vector_to_array("features")).alias("idx", "weight"))
-    return entries.where(F.col("weight") != 0)
+    vector = F.unwrap_udt("features")
+
+    def entry(idx: Column, weight: Column) -> Column:
+        return F.struct(idx.alias("idx"), weight.alias("weight"))
+
+    listed = F.when(
+        vector["type"] == 0,
+        F.transform(vector["indices"], lambda idx, i: entry(idx, F.get(vector["values"], i))),
+    ).otherwise(F.transform(vector["values"], lambda weight, idx: entry(idx, weight)))
+    return df.select(*keys, F.inline(listed)).where(F.col("weight") != 0)

@@ -30,14 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a table scan of fewer partitions than cores one partition per core.
+def spread(scan: DataFrame, partitions: int) -> DataFrame:
+    """Give a table scan at least so many partitions, by an exchange of its rows if it has fewer.
 
-    Text functions cost far more CPU than the scan, and a small file with one row group is read by
-    one task. A table with at least as many splits as cores comes back as it is, without a shuffle.
-    Only for scans: counting the partitions of a plan with shuffles would run them.
+    For small files of one row group, which one task would read: text functions cost far more than the
+    exchange. Only for scans: counting the partitions of a plan with shuffles would run them.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= partitions:
         return scan
-    return scan.repartition(cores)
+    return scan.repartition(partitions)

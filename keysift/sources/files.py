@@ -98,28 +98,37 @@ def read_csv(
 ) -> DataFrame:
     """CSV rows as ``(text, is_credential, source, bad_label)``.
 
-    A missing file gives an empty table. Columns go by position and rows that end before the label are skipped. Any integer but zero is
-    a positive. Other labels fail the job with ``on_bad="fail"``, else the row comes with a null
+    A missing file gives an empty table. Columns go by position; rows that end before the text or the
+    label are skipped. Any integer but zero is a positive. Other labels, empty ones too, fail the job with ``on_bad="fail"``, else the row comes with a null
     class and its label in ``bad_label``; see ``split_rejects``. ``multiline=False`` lets Spark
     split large files, for data without line breaks inside quotes.
     """
     if on_bad not in ("quarantine", "fail"):
         raise ValueError("on_bad must be 'quarantine' or 'fail'")
     width = max(text_col, label_col) + 1
-    reader = spark.read.schema(", ".join(f"c{i} STRING" for i in range(width))).options(
-        header=has_header, multiLine=multiline, quote='"', escape='"', enforceSchema=True
+    schema = ", ".join([*(f"c{i} STRING" for i in range(width)), "raw STRING"])
+    reader = spark.read.schema(schema).options(
+        header=has_header,
+        multiLine=multiline,
+        quote='"',
+        escape='"',
+        enforceSchema=True,
+        columnNameOfCorruptRecord="raw",
     )
     raw = if_found(reader.csv, path)
     if raw is None:
         return spark.createDataFrame([], f"{EXAMPLE_SCHEMA}, bad_label STRING")
-    label = strip(F.col(f"c{label_col}"))
+    # The raw record is there for rows that are shorter or longer than the columns asked for.
+    commas = F.regexp_replace(F.regexp_replace("raw", '"(?:[^"]|"")*+"', ""), "[^,]+", "")
+    too_short = F.coalesce(F.length(commas) + 1 < width, F.lit(False))
+    label = F.coalesce(strip(F.col(f"c{label_col}")), F.lit(""))
     is_integer = label.rlike("^[+-]?[0-9]+(_[0-9]+)*$")
     if on_bad == "fail":
         message = F.concat(F.lit("label is not an integer: "), label)
         bad = F.when(~is_integer, F.raise_error(message).cast("string"))
     else:
         bad = F.when(~is_integer, label)
-    return raw.where(F.col(f"c{label_col}").isNotNull()).select(
+    return raw.where(~too_short).select(
         F.coalesce(strip(F.col(f"c{text_col}")), F.lit("")).alias("text"),
         F.when(is_integer, label.rlike("[1-9]")).alias("is_credential"),
         F.lit("csv_import").alias("source"),
@@ -150,13 +159,17 @@ def read_testset(spark: SparkSession, path: str, multiline: bool = True) -> Data
     """Test rows ``(pos, text, label)`` of JSON objects ``{"texts": [...], "labels": [...]}``, or
     None where the path does not exist.
 
-    A file is one object, or with ``multiline=False`` one object per line, which Spark can split.
+    Texts and labels of unequal number fail the job. A file is one object, or with ``multiline=False`` one object per line, which Spark can split.
     """
     schema = "texts ARRAY<STRING>, labels ARRAY<INT>"
     sets = if_found(spark.read.schema(schema).option("multiLine", multiline).json, path)
     if sets is None:
         return None
-    rows = sets.select(F.posexplode(F.arrays_zip("texts", "labels")).alias("pos", "row"))
+    zipped = F.arrays_zip("texts", "labels")
+    message = F.lit("a test set has texts and labels of unequal number").cast("string")
+    unequal = ~F.size("texts").eqNullSafe(F.size("labels"))
+    checked = F.when(unequal, F.array_repeat(F.element_at(zipped, 1), F.raise_error(message).cast("int")))
+    rows = sets.select(F.posexplode(checked.otherwise(zipped)).alias("pos", "row"))
     return rows.select("pos", F.col("row.texts").alias("text"), F.col("row.labels").alias("label"))
 
 

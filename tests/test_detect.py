@@ -131,7 +131,7 @@ def test_bad_rules_are_rejected(texts):
         detect(texts(["a"]), rules={"any": "x*"})
     with pytest.raises(ValueError, match="flags"):
         detect(texts(["a"]), rules=[Rule("v1", "a", 256)])
-    with pytest.raises(Exception, match="empty matches"):
+    with pytest.raises(ValueError, match="empty string"):
         detect(texts(["ab"]), rules={"ahead": "(?=a)|b"}).collect()
 
 
@@ -169,3 +169,30 @@ def test_exported_results(spark, texts):
     assert rows["ação"].matches == [] and rows["ação"].has_credential is False
     position = rows["password=Password123!"].match_positions[0]
     assert (position.start, position.end, position.type) == (0, 21, "password")
+
+
+def test_rules_without_width_or_of_one_name_are_rejected(texts):
+    for pattern in (r"\b", "^", "(?=a)", "x*"):
+        with pytest.raises(ValueError, match="matches the empty string"):
+            detect(texts(["a"]), rules={"bad": pattern})
+    with pytest.raises(ValueError, match="same name: twice"):
+        detect(texts(["a"]), rules=[Rule("twice", "a"), Rule("twice", "b")])
+
+
+def test_columns_by_the_names_of_results_are_replaced(texts):
+    rows = texts(["senha: abcdef1", "none"]).withColumns(
+        {"confidence": F.lit("old"), "score_text": F.lit(1), "Matches": F.lit(2), "text_chars": F.lit(3)}
+    )
+    found = detect(rows, score=lambda df: df.withColumn("confidence", F.lit(0.9)))
+    assert found.columns == ["id", "text", "has_credential", "confidence", "matches", "match_positions"]
+    assert sorted((r.id, r.confidence) for r in found.collect()) == [(0, 1.0), (1, 0.9)]
+
+
+def test_mask_and_stats(texts):
+    from keysift.operators.detect import mask_flagged, rule_stats
+
+    rows = texts(["my senha: abcdef1 and senha: abcdef2", "none", None])
+    assert {r.id: r.masked for r in mask_flagged(rows).collect()} == {
+        0: "my [password] and [password]", 1: "none", 2: None
+    }
+    assert [tuple(r) for r in rule_stats(rows, "id").collect()] == [("password", 2, 1)]

@@ -104,6 +104,12 @@ def test_csv(spark, tmp_path):
     )
     assert {r.source for r in good.collect()} == {"csv_import"}
     assert [(r.text, r.bad_label) for r in bad.collect()] == [("bad", "yes")]
+    empty = write_file(tmp_path / "empty.csv", 'text,label\nx,\n"a,b"\ny, ,more\nz,1\n')
+    good, bad = files.split_rejects(files.read_csv(spark, empty))
+    assert pairs(good) == [("z", True)]
+    assert sorted((r.text, r.bad_label) for r in bad.collect()) == [("x", ""), ("y", "")]
+    with pytest.raises(Exception, match="label is not an integer"):
+        files.read_csv(spark, empty, on_bad="fail").collect()
     with pytest.raises(Exception, match="label is not an integer: yes"):
         files.read_csv(spark, path, on_bad="fail").collect()
 
@@ -111,7 +117,7 @@ def test_csv(spark, tmp_path):
 def test_csv_columns_by_position(spark, tmp_path):
     path = write_file(tmp_path / "x.csv", "0,x,first\n1,y,second\n2,z\n")
     good, _ = files.split_rejects(files.read_csv(spark, path, False, text_col=2, label_col=0))
-    assert [p for p in pairs(good) if p[0]] == [("first", False), ("second", True)]
+    assert pairs(good) == [("first", False), ("second", True)]
 
 
 def test_lines(spark, tmp_path):
@@ -125,6 +131,9 @@ def test_testset(spark, tmp_path):
     path = write_file(tmp_path / "t.json", '{\n "texts": ["a", "b"],\n "labels": [1, 0]\n}')
     rows = files.read_testset(spark, path).collect()
     assert [(r.pos, r.text, r.label) for r in rows] == [(0, "a", 1), (1, "b", 0)]
+    path = write_file(tmp_path / "u.json", '{"texts": ["a", "b", "c"], "labels": [1, 0]}')
+    with pytest.raises(Exception, match="unequal number"):
+        files.read_testset(spark, path).collect()
 
 
 def test_union_and_deficit(spark, texts):

@@ -119,3 +119,10 @@ def test_rules_tell_synthetic_classes_apart(spark):
     ids = spark.range(500)
     assert detect(positive_examples(ids, "id")).where("NOT has_credential").count() == 0
     assert detect(negative_examples(ids, "id")).where("has_credential").count() == 0
+
+
+def test_null_keys_are_one_key(spark):
+    rows = [(None if i < 40 else i, i % 2) for i in range(100)]
+    split = stratified_split(spark.createDataFrame(rows, "k LONG, label INT"), "k").collect()
+    assert {r.split for r in split} == {"train", "test"}
+    assert len({r.split for r in split if r.k is None and r.label == 0}) == 1
