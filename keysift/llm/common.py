@@ -24,6 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> None:
+    """At most 1,000 rows to a Python worker at once, from now on in this session: texts can be long,
+    and by default 10,000 of them would be held three times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= 1000:
+        conf.set(key, "1000")
+
+
 def whole(text: Column) -> Column:
     """A text, empty where it is null."""
     return F.coalesce(text, F.lit(""))
@@ -52,6 +60,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def forget() -> None:
+    """Drop what ``per_process`` holds, so that a worker does not carry one operator's memory into the
+    tasks of the next."""
+    sys.modules.pop("keysift_per_process", None)
+
+
 def per_process(name: str, key: object, make: Callable[[], object]):
     """What ``make`` returns for ``key``, made once per Python worker, which runs one task after the
     other. Tasks get their functions by value, so a global of a module would not last."""
