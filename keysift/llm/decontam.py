@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysift.llm.common import forget, small_batches
+
 # Letters and digits of any script make words; case and punctuation do not count.
 TOKEN = r"[^\W_]+"
 BLOCK_WORDS = 2_000_000
@@ -332,6 +334,7 @@ def with_matches(
     out, repeated items are matched each. A column named ``out`` is replaced. Without rows or items
     there are no matches. Each row is judged by itself.
     """
+    small_batches(docs)
     result = F.array().cast(MATCHES)
     sc = docs.sparkSession.sparkContext
     for block in blocks(benchmark, item_id, item_text):
@@ -344,6 +347,7 @@ def _matcher(shared, params: Cgk):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
+        forget()
         index = Index(*shared.value)
         finder, number = Finder(index, params), index.numbers.get
         for texts in batches:

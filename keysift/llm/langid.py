@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.llm.common import per_process, stored, whole
+from keysift.llm.common import per_process, small_batches, stored, whole
 
 VOCABULARY = "piece_bpe_32k.model"
 ROWS_PER_LANGUAGE = 2_000
@@ -284,6 +284,7 @@ def with_language(
     that knows no language. Of languages alike the first by name wins. A column named ``out`` is
     replaced. Each row is scored by itself, over its whole text.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     key = uuid.uuid4().hex
 

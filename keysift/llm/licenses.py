@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keysift.llm.common import small_batches
+
 # What a word is, after A-Z are lowered.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
@@ -211,6 +213,7 @@ def scan(
     column named ``out`` is replaced. Each row is scanned by itself, in time linear in its words for
     a given set of templates; repeated rows, ties and an empty table need no rule of their own.
     """
+    small_batches(docs)
     found_phrases, found_templates = dict(phrases), dict(templates)
 
     @F.pandas_udf(RESULT)

@@ -26,6 +26,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keysift.llm.common import forget, small_batches
+
 MAX_POSITIVES = 20_000
 CUT = 0.3
 RIDGE = 1e-3
@@ -103,6 +105,7 @@ def moments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         total = [np.zeros((WIDTH, WIDTH)), np.zeros((WIDTH, WIDTH))]
         for batch in batches:
             for first in range(0, len(batch), 512):
@@ -273,6 +276,7 @@ def fit(
     over the texts: moments, the histogram for the prior, the histogram for the posterior. Without
     positives or texts every score is the prior, 0.5.
     """
+    small_batches(docs)
     positives = bounded_positives(labels, max_positives, doc_id, label)
     texts = docs.select(F.col(doc_id).cast("long").alias("pu_doc"), F.col(text).alias("text"))
     texts = texts.join(F.broadcast(positives), F.col("pu_doc") == F.col("pu_id"), "left").select(
@@ -289,4 +293,5 @@ def fit(
 
 def with_quality(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
     """Rows of ``docs`` with the probability that a text is good. A column named ``out`` is replaced."""
+    small_batches(docs)
     return docs.withColumn(out, model.score(text))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from keysift.llm.common import per_process, whole
+from keysift.llm.common import per_process, small_batches, whole
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -181,6 +181,7 @@ def write_tokens(
     empty table gives files without rows. Texts are exchanged before they are encoded, so sampling the
     id ranges encodes nothing; a lost task encodes the same range again and writes the same file.
     """
+    small_batches(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(F.col(text)).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc()]
     ranged = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
