@@ -33,6 +33,10 @@ SHINGLE_SCHEMA = (
 # Bands and hubs per bucket of each round (None: all).
 ROUNDS = ((4, 1), (None, 1), (None, 8), (None, None))
 
+# A filter has so many bitmaps of 2^15 bits, the size of those that Spark builds.
+FILTER_PARTS = 2048
+BITMAP_POWER = 15
+
 
 class MinHash(NamedTuple):
     """Shingle size in words, threshold in percent, bands and rows per band.
@@ -179,8 +183,38 @@ def shingle_sets(docs: DataFrame, params: MinHash) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """``(band, bucket, node, n_shingles)`` for each band of each node."""
-    return nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n_shingles")
+    """``(band, bucket, node)`` for each band of each node."""
+    return nodes.select(F.posexplode("bands").alias("band", "bucket"), "node")
+
+
+def prefiltered(rows: DataFrame, key: Column, keys: DataFrame, name: Column) -> DataFrame:
+    """Rows of which the hash ``key`` may be among the hashes ``name`` of ``keys``, before a join on
+    what was hashed.
+
+    A Bloom filter of one hash, of ``FILTER_PARTS`` bitmaps and so 8 MB at any size. It drops no row
+    that the join would keep, but saves shuffling most of those that have no partner. The more keys
+    there are, the more rows it lets through; the join gives the same rows in any case.
+    """
+
+    def part(place: Column) -> Column:
+        return F.shiftright(place, BITMAP_POWER)
+
+    def bit(place: Column) -> Column:
+        return place.bitwiseAND((1 << BITMAP_POWER) - 1)
+
+    def place(hashed: Column) -> Column:
+        return F.pmod(F.xxhash64(hashed), F.lit(FILTER_PARTS << BITMAP_POWER))
+
+    places = keys.select(place(name).alias("filter_place"))
+    maps = places.groupBy(part(F.col("filter_place")).alias("filter_part")).agg(
+        F.bitmap_construct_agg(bit(F.col("filter_place"))).alias("filter_map")
+    )
+    placed = rows.withColumn("filter_place", place(key))
+    placed = placed.withColumn("filter_part", part(F.col("filter_place")))
+    own = bit(F.col("filter_place")).cast("int")
+    byte = F.substring("filter_map", F.shiftright(own, 3) + 1, F.lit(1))
+    found = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), own.bitwiseAND(7)) == 1
+    return placed.join(F.broadcast(maps), "filter_part").where(found).select(rows.columns)
 
 
 def agreement(one: str, other: str) -> Column:
@@ -205,7 +239,10 @@ def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, params: MinHa
         return rows
 
     near = with_both(pairs, signs, "signature").where(agree(params)).select(pairs.columns)
-    both = with_both(near, sets, "shingles")
+    near = stored(near, "near")
+    ends = near.select("a").union(near.select("b"))
+    needed = prefiltered(sets, F.xxhash64("node"), ends, F.xxhash64("a"))
+    both = with_both(near, needed, "shingles")
     both = both.withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
     union = F.size("shingles_a") + F.size("shingles_b") - F.col("common")
     return both.where(F.col("common") * 100 >= union * params.percent).select(pairs.columns)
@@ -322,6 +359,8 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     )
     banded = buckets(classes)
     met = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = stored(met, "buckets")
+    banded = prefiltered(banded, F.col("bucket"), met, F.col("bucket"))
     members = stored(banded.join(met, "bucket"), "bucket-members")
     roots = stored(members.select("node", F.col("node").alias("root")).distinct(), "nodes")
     signs = classes.join(roots, "node", "left_semi")
@@ -329,11 +368,13 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     texts = docs.select(
         F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text")
     )
+    own = F.xxhash64("doc_id", "text_hash")
+    texts = prefiltered(texts, F.xxhash64("d", "h"), rows, own)
     same = texts["d"].eqNullSafe(rows["doc_id"]) & (texts["h"] == rows["text_hash"])
     sets = shingle_sets(texts.join(rows, same), params).dropDuplicates(["node"])
     sets = stored(sets, "sets")
     shared = shared_counts(sets).where(F.col("n_shared") * 100 >= F.col("n") * params.percent)
-    members = members.join(shared.select("node", "n_shared"), "node")
+    members = members.join(shared.withColumnRenamed("n", "n_shingles"), "node")
     members = stored(members, "members")
     tried = None
     for bands, hubs in ROUNDS:
