@@ -228,9 +228,11 @@ def agree(params: MinHash) -> Column:
     return agreement("signature_a", "signature_b") >= params.screen * params.bands * params.rows
 
 
-def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, params: MinHash) -> DataFrame:
+def confirmed(
+    pairs: DataFrame, signs: DataFrame | None, sets: DataFrame, params: MinHash
+) -> DataFrame:
     """Of the pairs ``(a, b, ...)``, those whose signatures agree and whose full sets reach the
-    threshold."""
+    threshold; without ``signs``, signatures have been compared before."""
 
     def with_both(rows: DataFrame, side: DataFrame, column: str) -> DataFrame:
         for end in ("a", "b"):
@@ -238,8 +240,10 @@ def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, params: MinHa
             rows = rows.join(own, end)
         return rows
 
-    near = with_both(pairs, signs, "signature").where(agree(params)).select(pairs.columns)
-    near = stored(near, "near")
+    near = pairs
+    if signs is not None:
+        near = with_both(pairs, signs, "signature").where(agree(params)).select(pairs.columns)
+        near = stored(near, "near")
     ends = near.select("a").union(near.select("b"))
     needed = prefiltered(sets, F.xxhash64("node"), ends, F.xxhash64("a"))
     both = with_both(near, needed, "shingles")
@@ -363,7 +367,10 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     banded = prefiltered(banded, F.col("bucket"), met, F.col("bucket"))
     members = stored(banded.join(met, "bucket"), "bucket-members")
     roots = stored(members.select("node", F.col("node").alias("root")).distinct(), "nodes")
-    signs = classes.join(roots, "node", "left_semi")
+    own = F.xxhash64("node")
+    # Not a semi-join, which Catalyst would move below the filter. Each node is in ``roots`` once.
+    signs = prefiltered(classes, own, roots, own).join(roots.select("node"), "node")
+    signs = stored(signs, "signs")
     rows = signs.select("node", "row.*")
     texts = docs.select(
         F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text")
@@ -385,7 +392,7 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
             continue
         own = pairs.select("a", "b")
         tried = own if tried is None else tried.union(own)
-        links = confirmed(pairs, signs, sets, params)
+        links = confirmed(pairs, None if hubs is None else signs, sets, params)
         moved = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
         merged = roots.join(moved, "root", "left")
