@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from keysift.llm import decontam, dedup, langid, licenses, mixing, pii, quality, rules, tokens, urls
 from keysift.session import scratch_path
@@ -353,6 +354,17 @@ def test_near_duplicates_links_that_no_hub_has(spark, monkeypatch):
     assert len({r.component_id for r in found}) == 1
 
 
+def test_prefilter_keeps_every_partner(spark):
+    rows = spark.range(3000).selectExpr("id", "id % 7 AS other")
+    keys = spark.range(0, 3000, 10).selectExpr("id AS name")
+    found = dedup.prefiltered(rows, F.col("id"), keys, F.col("name"))
+    assert found.columns == rows.columns
+    ids = [row.id for row in found.collect()]
+    assert set(range(0, 3000, 10)) <= set(ids)
+    assert len(ids) == len(set(ids)) < 400
+    assert dedup.prefiltered(rows, F.col("id"), keys.limit(0), F.col("name")).isEmpty()
+
+
 def test_drop_near_duplicates(spark):
     rows = [(d, t, f"s{i}") for i, (d, t) in enumerate(near_rows())]
     docs = frame(spark, rows)
