@@ -642,6 +642,25 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == ({r[0] for r in rows} | {900, 901}) - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("n, texts", [(60, 1000), (450, 100), (1000, 50), (2000, 20)])
+def test_decontamination_finds_long_items_with_all_edits(n, texts):
+    chosen = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [chosen.choices(vocabulary, k=n) for _ in range(texts)]
+    params = decontam.Cgk()
+    index = decontam.build([(i, " ".join(words)) for i, words in enumerate(items)], params)
+    numbers, ends = [], []
+    for words in items:
+        held = list(words)
+        for at in sorted(chosen.sample(range(n), n // 10), reverse=True):
+            held[at : at + 1] = [[], ["edit"], [held[at], "more"]][chosen.randrange(3)]
+        around = chosen.choices(vocabulary, k=60)
+        numbers += [index.numbers.get(w, 0) for w in [*around[:30], *held, *around[30:]]]
+        ends.append(len(numbers))
+    found = decontam.Finder(index, params).matches(np.array(numbers, np.int64), np.array(ends))
+    assert sum(i in {number for number, _, _ in each} for i, each in enumerate(found)) >= 0.99 * texts
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(i, prose(i, 20)) for i in range(6)]
     docs = spark.createDataFrame([(i, prose(50, 30) + " " + t + " " + prose(51, 30)) for i, t in items], "doc_id long, text string")
