@@ -661,6 +661,39 @@ def test_decontamination_finds_long_items_with_all_edits(n, texts):
     assert sum(i in {number for number, _, _ in each} for i, each in enumerate(found)) >= 0.99 * texts
 
 
+def test_decontamination_finds_short_items_and_scripts_without_spaces(spark):
+    items = ["Short", "two words", "one two three four five six seven", "三人行必有我師", "การเรียนรู้ของเครื่อง" * 2, "三人", "", "., !"]
+    docs = [
+        "a SHORT, short text",
+        "shorts and two more words",
+        "so: One two-three four five six SEVEN.",
+        "one two three four five six",
+        "子曰:三人行,必有我師焉",
+        "三x人 words two",
+        "ก" + "การเรียนรู้ของเครื่อง" * 2 + "ใหม่",
+        "two",
+        "words",
+        None,
+        "one two three",
+        "four five six seven",
+        "x " + " ".join(["short"] * 3000),
+    ]
+    expected = set()
+    for d, text in enumerate(docs):
+        words = decontam.words_of(text)
+        for i, item in enumerate(items):
+            own = decontam.words_of(item)
+            if own and distance(own, words) <= len(own) // 10:
+                expected.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    found = decontam.contaminated(rows, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected == {(0, 0), (2, 2), (4, 3), (4, 5), (6, 4), (12, 0)}
+    assert len(found) == len(expected)
+    assert [(r.end_word, r.n_words, r.distance) for r in found if r.item_id == 0] == [(2, 1, 0), (2, 1, 0)]
+    assert {r.doc_id for r in decontam.clean(rows, bench).collect()} == set(range(13)) - {0, 2, 4, 6, 12}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(i, prose(i, 20)) for i in range(6)]
     docs = spark.createDataFrame([(i, prose(50, 30) + " " + t + " " + prose(51, 30)) for i, t in items], "doc_id long, text string")
