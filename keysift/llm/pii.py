@@ -9,7 +9,8 @@ by how often t stands within ``reach`` characters of c among all its occurrences
 It is 1 where t never occurs without c, as telling as c itself, and 0 where t tells nothing. A term
 whose disclosure reaches ``generalise`` is replaced by its kind wherever it stands, one that reaches
 ``remove`` is removed. A term counts for an entity only if it stands in ``support`` different
-surroundings of it: mirrored pages are one surrounding, however many there are.
+surroundings of it: mirrored pages are one surrounding, however many there are. Every word can be a
+term, short ones and those with digits too, but for words that overlap a base span.
 
 Everything is DataFrame expressions. Texts are read and never exchanged, for spans and surroundings,
 for the corpus counts of all terms, and for the places of the terms found.
@@ -40,6 +41,8 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 PUNCTUATION = ".,;:!?()[]{}\"'`|*#$%&<>_~=+-/\\"
+# Marks words that overlap a base span: a noncharacter, which no text should hold.
+HIDDEN = "\uffff"
 BROADCAST_ROWS = 100_000
 
 
@@ -92,12 +95,30 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.split(text, SPACE, -1), lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))))
 
 
-def surroundings(found: DataFrame, reach: int) -> DataFrame:
+def masked(text: Column, base: Column) -> Column:
+    """The text with each character of a base span replaced by ``HIDDEN``."""
+    begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+
+    def step(state: Column, s: Column) -> Column:
+        before = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        blank = F.repeat(F.lit(HIDDEN), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
+        return F.when(s["end"] <= state["at"], state).otherwise(
+            F.struct(F.concat(state["done"], before, blank).alias("done"), s["end"].alias("at"))
+        )
+
+    end = F.aggregate(F.sort_array(base), begin, step)
+    return F.concat(end["done"], F.substring(text, end["at"] + 1, F.length(text) - end["at"]))
+
+
+def surroundings(found: DataFrame, reach: int, every: bool = False) -> DataFrame:
     """``(kind, value, place, term)``: words wholly within ``reach`` characters of a base span.
 
-    ``place`` identifies the surrounding text. Words with a digit or an at sign are no terms: they are
-    values, not context.
+    ``place`` identifies the surrounding text. With ``every``, all words but those that overlap a base
+    span are terms, of any length and with digits or at signs; without, words of three characters or
+    more that have neither.
     """
+    if every:
+        found = found.select(masked(F.col("pii_text"), F.col("pii_spans")).alias("pii_text"), "pii_spans")
     each = found.select("pii_text", F.explode("pii_spans").alias("s"))
     left_start = F.greatest(F.col("s.start") - reach, F.lit(0))
     sides = each.select(
@@ -114,17 +135,21 @@ def surroundings(found: DataFrame, reach: int) -> DataFrame:
     around = sides.select("kind", "value", F.concat_ws(" ", left, right).alias("around"))
     term = F.explode(terms_of(F.col("around")))
     rows = around.select("kind", "value", F.xxhash64("around").alias("place"), term.alias("term"))
+    if every:
+        return rows.where((F.col("term") != "") & ~F.contains(F.col("term"), F.lit(HIDDEN)))
     return rows.where((F.length("term") >= 3) & ~F.col("term").rlike("[0-9@]"))
 
 
-def disclosive_terms(found: DataFrame, docs: DataFrame, params: Disclosure) -> DataFrame:
+def disclosive_terms(
+    found: DataFrame, docs: DataFrame, params: Disclosure, every: bool = False
+) -> DataFrame:
     """``(term, disclosure, action)`` for terms that give some entity away.
 
-    ``found`` has ``(pii_text, pii_spans)``, ``docs`` ``pii_text``. Counts are of occurrences, over all
+    ``found`` has ``(pii_text, pii_spans)``, ``docs`` ``pii_text``; for ``every`` see ``surroundings``. Counts are of occurrences, over all
     texts, combined per task before they are exchanged; common terms meet as one partial count per
     task.
     """
-    near = surroundings(found, params.reach)
+    near = surroundings(found, params.reach, every)
     by_place = near.groupBy("kind", "value", "term", "place").agg(F.count("*").alias("n"))
     pairs = by_place.groupBy("kind", "value", "term").agg(
         F.sum("n").alias("n_both"), F.count("*").alias("places")
@@ -216,7 +241,7 @@ def find(
     spanned = with_base_spans(rows, "pii_text", "pii_spans")
     found = spanned.where(F.size("pii_spans") > 0).select("pii_text", "pii_spans")
     found = stored(found, "pii-found")
-    terms = stored(disclosive_terms(found, rows, params), "pii-disclosive")
+    terms = stored(disclosive_terms(found, rows, params, every=True), "pii-disclosive")
     places = term_places(rows.select("pii_key", "pii_text"), terms)
     joined = spanned.join(places, "pii_key", "left")
     free = F.filter(

@@ -152,6 +152,20 @@ def test_pii_disclosure_is_brute_force(spark):
     assert found == pytest.approx(expected) and "kavo" in found
 
 
+def test_pii_terms_of_any_length_and_with_digits(spark):
+    rows = []
+    for i in range(6):
+        rows.append((i, f"{prose(i, 30)} jdoe42 王伟 K7-99X zar@mail.org +1 (168) 555-5254 {prose(i + 50, 30)}"))
+    rows += [(i, prose(i, 60)) for i in range(6, 106)]
+    rows.append((200, "Ask (JDOE42), 王伟 or k7-99x, not zar@mail.org."))
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        assert [s.match for s in found[i].terms] == ["jdoe42", "王伟", "K7-99X"]
+        assert not re.search("jdoe42|王伟|K7-99X|zar@|555", found[i].sanitised)
+    assert [s.match for s in found[200].terms] == ["JDOE42", "王伟", "k7-99x"]
+    assert all(found[i].terms == [] for i in range(6, 106))
+
+
 def test_pii_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(empty).collect() == []
