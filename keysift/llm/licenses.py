@@ -27,10 +27,38 @@ PHRASES = {
     "reserved": "all rights reserved",
 }
 # Templates in lower-case words. [ ] optional, {n} up to n words of any kind.
+# ``mit`` and ``bsd`` are the opening clauses alone, the labels ending in ``-text`` the whole wording.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license [version] 2 0 [the license]",
     "bsd": "redistribution and use in source and binary forms with or without modification "
     "are permitted provided that the following conditions are met",
+    "bsd-2-clause-text": "redistribution and use in source and binary forms with or without modification "
+    "are permitted provided that the following conditions are met [1] redistributions of source code "
+    "must retain the above copyright notice this list of conditions and the following disclaimer [2] "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions "
+    "and the following disclaimer in the documentation and or other materials provided with the "
+    "distribution this "
+    "software is provided by {8} as is and any express or implied warranties including but not limited "
+    "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {8} be liable for any direct indirect incidental special exemplary or "
+    "consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of "
+    "liability whether in contract strict liability or tort including negligence or otherwise arising "
+    "in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause-text": "redistribution and use in source and binary forms with or without modification "
+    "are permitted provided that the following conditions are met [1] redistributions of source code "
+    "must retain the above copyright notice this list of conditions and the following disclaimer [2] "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions "
+    "and the following disclaimer in the documentation and or other materials provided with the "
+    "distribution [3] neither the name of {10} nor the names of {3} contributors may be used to endorse "
+    "or promote products derived from this software without specific prior written permission this "
+    "software is provided by {8} as is and any express or implied warranties including but not limited "
+    "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {8} be liable for any direct indirect incidental special exemplary or "
+    "consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of "
+    "liability whether in contract strict liability or tort including negligence or otherwise arising "
+    "in any way out of the use of this software even if advised of the possibility of such damage",
     "cc-by-4.0": "[this {3} is] licensed under [a] [the] [creative commons] "
     "[attribution] cc by 4 0 [international]",
     "cc-by-nc-4.0": "[this {3} is] licensed under [a] [the] cc by nc 4 0 [international]",
@@ -44,6 +72,29 @@ TEMPLATES = {
     "lgpl": "licensed under the [terms of the] gnu lesser general public license",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this "
     "software and associated documentation files {4} to deal in {2} software without restriction",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this "
+    "software and associated documentation files the software to deal in the software without "
+    "restriction including without limitation the rights to use copy modify merge publish distribute "
+    "sublicense and or sell copies of the software and to permit persons to whom the software is "
+    "furnished to do so subject to the following conditions the above copyright notice and this "
+    "permission notice [including the next paragraph] shall be included in all copies or substantial "
+    "portions of the software the software is provided as is without warranty of any kind express or "
+    "implied including but not limited to the warranties of merchantability fitness for a particular "
+    "purpose and noninfringement in no event shall the {8} be liable for any claim damages or other "
+    "liability whether in an action of contract tort or otherwise arising from out of or in connection "
+    "with the software or the use or other dealings in the software",
+    "gpl-2.0-notice": "redistribute it and or modify it under the terms of the gnu general public "
+    "license as published by the free software foundation either version 2 of the license "
+    "or [at your option] any later version",
+    "gpl-3.0-notice": "redistribute it and or modify it under the terms of the gnu general public "
+    "license as published by the free software foundation either version 3 of the license "
+    "or [at your option] any later version",
+    "lgpl-2.1-notice": "redistribute it and or modify it under the terms of the gnu lesser general public "
+    "license as published by the free software foundation either version 2 1 of the license "
+    "or [at your option] any later version",
+    "lgpl-3.0-notice": "redistribute it and or modify it under the terms of the gnu lesser general public "
+    "license as published by the free software foundation either version 3 of the license "
+    "or [at your option] any later version",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license "
     "[v] {1} 2 0",
 }

@@ -783,6 +783,25 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("lesser, version", [("", "2"), ("", "3"), ("Lesser ", "2.1"), ("Lesser ", "3")])
+def test_license_published_notices(lesser, version):
+    text = f"you can redistribute it and/or modify it under the terms of the GNU {lesser}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    name = f"{'lgpl' if lesser else 'gpl'}-{version if '.' in version else version + '.0'}-notice"
+    found = licenses.Scanner(licenses.TEMPLATES).places(licenses.tokens(text))
+    assert [label for label, _, _ in found] == [name]
+
+
+@pytest.mark.parametrize("label", ["mit-text", "bsd-2-clause-text", "bsd-3-clause-text"])
+def test_license_whole_texts(label):
+    def labels(words):
+        return {name for name, _, _ in licenses.Scanner(licenses.TEMPLATES).places(words)}
+
+    words = [part for part in licenses.parse(licenses.TEMPLATES[label]) if isinstance(part, str)]
+    opening = "mit" if label == "mit-text" else "bsd"
+    assert labels(words) == {label, opening}
+    assert labels([*words[:60], "added", *words[60:]]) == labels(words[:-1]) == {opening}
+
+
 @pytest.mark.parametrize("bad", ["", "[a]", "a [b", "a ] b", "{3}"])
 def test_license_templates_are_checked(bad):
     with pytest.raises(ValueError):
