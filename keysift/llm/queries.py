@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.llm import (
+    audit,
     decontam,
     dedup,
     langid,
@@ -16,10 +17,12 @@ from keysift.llm import (
     pii,
     quality,
     rules,
+    substrings,
     tokens,
     urls,
+    whitening,
 )
-from keysift.llm.common import fold
+from keysift.llm.common import fold, whole
 from keysift.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +128,44 @@ def op10_tokens(spark, sf_dir):
     return tokens.digest(spark, path)
 
 
+def op11_substrings(spark, sf_dir):
+    found = substrings.with_repeats(texts(spark, sf_dir))
+    lost = F.aggregate(
+        F.col("repeats.removed"), F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"])
+    )
+    return found.select(
+        "doc_id",
+        F.col("repeats.n_words").alias("n_words"),
+        lost.alias("n_removed"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels")
+    marks = {
+        "good": labels.where("quality = 1").select("doc_id"),
+        "toxic": labels.where("toxic = 1").select("doc_id"),
+    }
+    return audit.audit(docs, marks, audit.text_filters(whole(F.col("text"))))
+
+
+def op13_whitening(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = whitening.with_whitened(rows).where("whitened IS NOT NULL")
+    parts = F.arrays_zip("whitened.values", "whitened.explained")
+    return found.select("vec_id", "whitened", F.posexplode(parts).alias("place", "part")).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "whitened.n",
+        "whitened.deviation",
+        F.col("part.values").alias("whitened"),
+        F.col("part.explained").alias("explained"),
+        F.col("whitened.identity_error").alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -136,6 +177,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
     "op10_tokens": op10_tokens,
+    "op11_substrings": op11_substrings,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -308,3 +352,59 @@ SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) AS first_word, l
   CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM listed
 """
+
+ORACLE["op11_substrings"] = rf"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r, {WORDS} AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS x
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)
+), lost AS (
+  SELECT r, i FROM (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY x) AS loses FROM windows) WHERE loses
+), gone AS (
+  SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 50)) AS j FROM lost)
+), placed AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM placed ANTI JOIN gone USING (r, j) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r)
+"""
+
+ORACLE["op12_filter_audit"] = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, {WORDS} AS w FROM documents
+), failing AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[{audit.SYMBOLS}]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM texts
+), counted AS (
+  SELECT part, f, count(*) AS n,
+    count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+    count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+  FROM failing GROUP BY part, f
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s, substr(o, s, 1) AS x, substr(o, 1, s - 1) AS earlier FROM orders, range(1, 6) AS r(s)
+), tried AS (
+  SELECT *, contains(f, x) AS fails, translate(earlier, f, '') <> earlier AS gone FROM steps, counted
+), summed AS (
+  SELECT part, o AS filter_order, s::INT AS step, x,
+    coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (f = x), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM tried GROUP BY part, o, s, x
+)
+SELECT * EXCLUDE (x), sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM summed
+"""
