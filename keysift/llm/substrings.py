@@ -371,7 +371,7 @@ def with_repeats(
         "removed",
         F.array_join(kept, " ").alias("kept"),
     )
-    return joined.select("row.*", result.alias(out))
+    return joined.select("row", result.alias("result")).select("row.*", F.col("result").alias(out))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:

@@ -1,0 +1,356 @@
+"""Repeated passages, the audit of filters and whitening, next to brute force in plain Python and numpy."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keysift.llm import audit, substrings, whitening
+from keysift.llm.common import whole
+from keysift.llm.queries import QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def prose(seed: int, n: int, vocabulary: int = 500) -> list[str]:
+    chosen = random.Random(seed)
+    return [f"w{chosen.randrange(vocabulary)}" for _ in range(n)]
+
+
+# Repeated passages
+
+
+def brute_repeats(rows, least):
+    """Per row: number of words, removed places, kept text."""
+    starts: dict[tuple, int] = {}
+    split = [WORD.findall(text or "") for _, text in rows]
+    for (doc, _), words in zip(rows, split):
+        for i in range(len(words) - least + 1):
+            window = tuple(words[i : i + least])
+            if doc is not None:
+                starts[window] = min(doc, starts.get(window, doc))
+    found = []
+    for (doc, _), words in zip(rows, split):
+        gone: set[int] = set()
+        for i in range(len(words) - least + 1):
+            if doc is not None and starts[tuple(words[i : i + least])] < doc:
+                gone.update(range(i, i + least))
+        found.append((doc, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
+    return found
+
+
+def repeats_of(spark, rows, least, partitions=3):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    lost = F.aggregate("repeats.removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    found = substrings.with_repeats(df, least=least)
+    return [tuple(r) for r in found.select("doc_id", "repeats.n_words", lost, "repeats.kept").collect()]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda row: tuple((x is not None, x) for x in row))
+
+
+def passages(seed: int, least: int):
+    """Documents of own words and of passages that several of them share, around the least length."""
+    chosen = random.Random(seed)
+    shared = [prose(1000 + k, chosen.choice([least - 1, least, least + 1, 2 * least, 5 * least])) for k in range(6)]
+    rows = []
+    for doc in range(40):
+        words = []
+        for k in range(chosen.randrange(4)):
+            words += prose(seed * 100 + doc * 5 + k, chosen.randrange(2 * least))
+            part = chosen.choice(shared)
+            words += part[chosen.choice([0, 0, 1, least // 2]) :]
+        rows.append((doc, chosen.choice([" ", "\n", " \t "]).join(words)))
+    text = rows[7][1]
+    rows += [(3, text), (3, text), (50, text), (51, text + " end"), (50, None), (50, ""), (None, text)]
+    rows += [(None, None), (None, text), (60, "a " * 3 * least), (61, "a " * 2 * least), (62, "a " * (least - 1))]
+    rows += [(63, "\xa0".join(shared[4]))]
+    return rows
+
+
+@pytest.mark.parametrize("seed, least", [(1, 50), (2, 50), (3, 4), (4, 10), (5, 2)])
+def test_repeats_equal_brute_force(spark, seed, least):
+    rows = passages(seed, least)
+    assert ordered(repeats_of(spark, rows, least)) == ordered(brute_repeats(rows, least))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_in_few_words(spark, seed):
+    """Three different words only: windows repeat everywhere, within a text and across."""
+    rows = [(i % 17, " ".join(prose(seed * 50 + i, 60, vocabulary=3))) for i in range(30)]
+    assert ordered(repeats_of(spark, rows, 6)) == ordered(brute_repeats(rows, 6))
+
+
+def test_repeats_by_length(spark):
+    own = [prose(10 + k, 300) for k in range(6)]
+    passage = prose(99, 460)
+    rows = [(1, own[0] + passage), (2, passage + own[1]), (3, own[2] + passage[:70]), (4, own[3]), (5, own[3])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {r.doc_id: r.repeats for r in substrings.with_repeats(df).collect()}
+    # A repeat of 460 words is found at 400, as it is 50 words more; 70 words only at 50.
+    assert [found[i].longest for i in range(1, 6)] == [400, 400, 50, 0, 300]
+    assert [[(s.start, s.end) for s in found[i].removed] for i in range(1, 6)] == [
+        [], [(0, 460)], [(300, 370)], [], [(0, 300)],
+    ]
+    shorter = {r.doc_id: r.text for r in substrings.without_repeats(df).collect()}
+    assert shorter == {i: " ".join(w) for i, w in rows} | {2: " ".join(own[1]), 3: " ".join(own[2]), 5: ""}
+
+
+def test_repeats_long_text_and_names(spark):
+    """A text of a million words, and columns of the names used inside."""
+    base = prose(5, 1000)
+    text = " ".join(f"{w}{k}" for k in range(1000) for w in base)
+    rows = [(1, text), (2, "x " + text[: len(text) // 2]), (3, None)]
+    names = ("row", "doc", "t1", "t2", "spans", "longest", "copy", "words", "removed", "repeats")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.withColumns({c: F.lit(c) for c in names})
+    found = substrings.with_repeats(df)
+    assert found.columns == [*df.columns, "repeats_"]
+    rows = {r.doc_id: r for r in found.select("doc_id", "repeats_.n_words", "repeats_.removed", *names[:3]).collect()}
+    assert rows[1].n_words == 1_000_000 and not rows[1].removed and rows[3].n_words == 0
+    (span,) = rows[2].removed
+    assert span.start == 1 and span.end >= rows[2].n_words - 1 and rows[2].row == "row"
+    assert substrings.with_repeats(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        substrings.with_repeats(df, least=5)
+
+
+def test_windows_and_leaders():
+    chosen = np.random.default_rng(1)
+    words = chosen.integers(0, 3, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)
+    for length in (1, 2, 5, 9):
+        hashes = substrings.window_hashes(words, length, substrings.BASES[0])
+        windows = [tuple(words[i : i + length].tolist()) for i in range(len(words) - length + 1)]
+        assert len(hashes) == len(windows)
+        assert len(set(zip(windows, hashes.tolist()))) == len(set(windows)) == len(set(hashes.tolist()))
+    values = chosen.integers(0, 2**64, 300, dtype=np.uint64)
+    values[40:60] = values[40]
+    for width in (1, 2, 3, 7, 26, 51):
+        order = (values >> np.uint64(31)).tolist()
+        expected = [min(range(s, s + width), key=lambda i: (order[i], i)) for s in range(300 - width + 1)]
+        assert substrings.leaders(values, width).tolist() == expected
+    assert len(substrings.leaders(values, 301)) == 0
+    assert substrings.merged(np.array([3, 4, 9, 30]), 5) == [{"start": 3, "end": 14}, {"start": 30, "end": 35}]
+
+
+def test_known_windows_of_a_batch():
+    h = np.array([5, 5, 5, 7, 7, 9], np.uint64)
+    g = np.zeros(6, np.uint64)
+    doc, text = np.array([2, 1, 1, 4, 4, 4]), np.array([20, 10, 10, 40, 40, 40])
+    found = substrings.compared(h, g, doc, text)
+    assert found.tolist() == [substrings.KNOWN, substrings.SHARED, substrings.SHARED, 0, 0, 0]
+
+
+# The audit
+
+
+def fails_of(rows):
+    first: dict[str, int] = {}
+    for doc, text, _ in rows:
+        if doc is not None:
+            first[text or ""] = min(doc, first.get(text or "", doc))
+    found = []
+    for doc, text, _ in rows:
+        text = text or ""
+        words = WORD.findall(text)
+        upper = sum("A" <= c <= "Z" for c in text)
+        tests = {
+            "A": len(words) < 100,
+            "B": 100 * len(set(words)) < 80 * len(words),
+            "C": 100 * upper > 10 * len(text),
+            "D": any(c in audit.SYMBOLS for c in text),
+            "E": doc is not None and doc > first[text],
+        }
+        found.append({name for name, bad in tests.items() if bad})
+    return found
+
+
+def brute_audit(rows, good, toxic):
+    failed = fails_of(rows)
+    parts = {lang or "" for _, _, lang in rows}
+    found = {}
+    for part in parts:
+        own = [(doc, f) for (doc, _, lang), f in zip(rows, failed) if (lang or "") == part]
+        shapley = dict.fromkeys("ABCDE", 0)
+        for order in map("".join, itertools.permutations("ABCDE")):
+            alive = own
+            for step, x in enumerate(order, 1):
+                removed = [(doc, f) for doc, f in alive if x in f]
+                alive = [(doc, f) for doc, f in alive if x not in f]
+                all_failing = [f for _, f in own if x in f]
+                shapley[x] += len(removed)
+                found[part, order, step] = [
+                    len(alive), len(removed), len(all_failing) - len(removed), sum(f == {x} for _, f in own),
+                    sum(doc in good for doc, _ in removed), sum(doc in toxic for doc, _ in removed),
+                ]
+        for (p, order, step), values in found.items():
+            if p == part:
+                values.append(shapley[order[step - 1]])
+    return found
+
+
+def audited(spark, rows, good, toxic, docs=None):
+    docs = docs or spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    marks = {"good": good, "toxic": toxic}
+    marks = {k: spark.createDataFrame([(x,) for x in v], "id long") for k, v in marks.items()}
+    found = audit.audit(docs, marks, audit.text_filters(whole(F.col("text")))).collect()
+    return {
+        (r.part, r.filter_order, r.step): [
+            r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley,
+        ]
+        for r in found
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_audit_equals_brute_force(spark, seed):
+    chosen = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        n = chosen.choice([0, 3, 99, 100, 101, 150])
+        words = prose(chosen.randrange(10**6), n, chosen.choice([20, 10**6]))
+        text = " ".join(words)
+        text = chosen.choice([text, text.upper(), text + " $", text + "\n|#"])
+        rows.append((chosen.randrange(60), text, chosen.choice(["en", "de", None, ""])))
+    rows += [chosen.choice(rows) for _ in range(60)]
+    rows += [(chosen.randrange(60), text, "fr") for _, text, _ in rows[:30]]
+    rows += [(None, None, None), (None, rows[0][1], "en"), (None, None, None), (5, None, "de"), (6, "", "xx")]
+    rows += [(1, " ".join(f"clean{i}" for i in range(120)), "only")]
+    good, toxic = [3, 3, 5, 7, None, 900], [5, 8, 9]
+    assert audited(spark, rows, good, toxic) == brute_audit(rows, {3, 5, 7}, {5, 8, 9})
+
+
+def test_audit_of_nothing_and_names(spark):
+    assert audited(spark, [], [1], []) == {}
+    rows = [(1, "short", "en"), (2, "short", "en"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = ("filter", "next", "before", "part", "n", "doc", "k1", "salt", "f0", "first", "total", "step")
+    clashing = docs.withColumns({c: F.lit(1) for c in names})
+    assert audited(spark, rows, [1], [2], clashing) == brute_audit(rows, {1}, {2})
+    failed, _ = audit.failing(docs, audit.text_filters(whole(F.col("text"))))
+    assert sorted((r.filter, r.doc) for r in failed.collect()) == [("A", 1), ("A", 2), ("A", 3), ("E", 2)]
+    with pytest.raises(ValueError):
+        audit.audit(docs, {}, {"E": F.lit(True)})
+    two = audit.audit(docs, {}, {"x": F.col("doc_id") > 1, "y": F.lit(None).cast("boolean")}, copies=None)
+    assert {(r.part, r.filter_order, r.step, r.kept, r.removed) for r in two.collect()} == {
+        ("en", "xy", 1, 1, 1), ("en", "xy", 2, 1, 0), ("en", "yx", 1, 2, 0), ("en", "yx", 2, 1, 1),
+        ("", "xy", 1, 0, 1), ("", "xy", 2, 0, 0), ("", "yx", 1, 1, 0), ("", "yx", 2, 0, 1),
+    }
+
+
+# Whitening
+
+
+def vectors(seed: int, n: int, d: int):
+    chosen = np.random.default_rng(seed)
+    x = chosen.normal(size=(n, d)) * np.linspace(1, 2, d) + chosen.normal(size=d)
+    x[: n // 3] = x[0]  # a third of all rows are copies
+    return x.astype(np.float32)
+
+
+def whole_of(x):
+    return np.floor(np.float64(x) * 1024).astype(np.int64) + 100_000
+
+
+@pytest.mark.parametrize("weighting", ["counts", "one"])
+def test_whitening_equals_numpy(spark, weighting):
+    x = vectors(1, 300, 12)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [None, [None] + [0.5] * 11, [float("nan")] + [0.5] * 11, [float("-inf")] + [0.5] * 11, []]
+    rows += [(1000 + i, v) for i, v in enumerate(bad)] + [(None, x[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = whitening.with_whitened(df, weighting=weighting).collect()
+    assert len(found) == len(rows)
+    assert {r.vec_id for r in found if r.whitened is None} == set(range(1000, 1005))
+    good = [r for r in found if r.whitened is not None]
+    own = whole_of(np.array([r.embedding for r in good], np.float32))
+    fitted = own if weighting == "counts" else np.unique(own, axis=0)
+    n, sums = len(fitted), fitted.sum(axis=0)
+    values = np.linalg.eigvalsh(np.cov(fitted.T, bias=True))[::-1]
+    white = np.array([r.whitened["values"] for r in good])
+    assert white.shape == (len(own), 8)
+    for r, v in zip(good, own):
+        assert r.whitened.n == n
+        assert r.whitened.deviation == sum(int(a) ** 2 for a in n * v - sums)
+        assert np.allclose(r.whitened.explained, values[:8] / values.sum(), rtol=1e-9)
+        assert r.whitened.identity_error < 1e-9
+    _, vecs = np.linalg.eigh(np.cov(fitted.T, bias=True))
+    expected = (own - sums / n) @ vecs[:, ::-1][:, :8] / np.sqrt(values[:8])
+    assert np.allclose(np.abs(white), np.abs(expected), atol=1e-7)
+    signs = np.sign((white * expected).sum(axis=0))
+    assert np.allclose(white, expected * signs, atol=1e-7)
+
+
+def test_whitening_of_little(spark):
+    """Lengths apart, directions without variance left out, repeated rows, names used inside, no rows."""
+    rows = [(1, [1.0, 2.0, 5.0]), (1, [1.0, 2.0, 5.0]), (2, [2.0, 4.0, 5.0]), (3, [0.5]), (4, [7.0, 7.0]), (5, None)]
+    rows += [(6, [7.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    names = ("row", "key", "x", "copies", "weight", "size", "found", "n", "deviation", "whitened")
+    clashing = df.withColumns({c: F.lit(c) for c in names})
+    found = whitening.with_whitened(clashing)
+    assert found.columns == [*clashing.columns, "whitened_"]
+    found = [(r.vec_id, r.whitened_) for r in found.collect()]
+    assert len(found) == len(rows)
+    for vec_id, result in found:
+        if vec_id == 5:
+            assert result is None
+        elif vec_id in (1, 2):
+            (value,) = result["values"]
+            assert math.isclose(abs(value), math.sqrt(0.5) if vec_id == 1 else math.sqrt(2), rel_tol=1e-9)
+            assert result.n == 3 and math.isclose(result.explained[0], 1) and result.identity_error < 1e-9
+        else:
+            assert result["values"] == [] and result.deviation == 0 and result.n == (1 if vec_id == 3 else 2)
+    assert whitening.with_whitened(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        whitening.with_whitened(df, weighting="log")
+    with pytest.raises(Exception, match="too large"):
+        whitening.with_whitened(spark.createDataFrame([(1, [1e30])], df.schema)).collect()
+
+
+def test_exact_deviation():
+    big = np.array([[2**31, -(2**31)], [0, 5]])
+    own = whitening.Whitening(10**6, (3 * 10**9, -7), np.ones(1), np.ones((1, 2)), 1.0)
+    assert own.deviation(big) == [
+        sum((10**6 * int(v) - s) ** 2 for v, s in zip(row, own.sums)) for row in big
+    ]
+    near = whitening.centred(np.array([[100_001]]), 3, (300_004,))
+    assert math.isclose(near[0, 0], -1 / 3, rel_tol=1e-12)
+
+
+def test_whitening_query(spark):
+    rows = QUERIES["op13_whitening"](spark, SF_DIR).collect()
+    table = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
+    good = [r for r in table if r.embedding and all(c is not None and math.isfinite(c) for c in r.embedding)]
+    own = whole_of(np.array([r.embedding for r in good], np.float32))
+    n, sums = len(own), own.sum(axis=0)
+    values, vecs = np.linalg.eigh(np.cov(own.T, bias=True))
+    expected = (own - sums / n) @ vecs[:, ::-1][:, :8] / np.sqrt(values[::-1][:8])
+    by_id = {r.vec_id: k for k, r in enumerate(good)}
+    found = np.zeros((n, 8))
+    for r in rows:
+        k = by_id[r.vec_id]
+        found[k, r.component - 1] = r.whitened
+        assert (r.n, r.deviation) == (n, sum(int(a) ** 2 for a in n * own[k] - sums))
+        assert math.isclose(r.explained, values[::-1][r.component - 1] / values.sum(), rel_tol=1e-9)
+        assert r.identity_error <= 1e-4
+    assert len(rows) == 8 * n
+    assert np.allclose(found, expected * np.sign((found * expected).sum(axis=0)), atol=1e-6)
+
+
+def test_repeats_digest_of_the_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op11_substrings"](spark, SF_DIR).collect()}
+    expected = {
+        doc: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for doc, n, gone, kept in brute_repeats(rows, 50)
+    }
+    assert found == expected and any(gone for _, gone, _ in expected.values())
