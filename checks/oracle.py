@@ -7,6 +7,7 @@ import json
 from checks.queries import STORED_THRESHOLD, UNUSUAL
 from keysift.functions import chars
 from keysift.functions.profile import LAYOUT, RATIOS, SHAPES
+from keysift.operators.encrypt import OVERHEAD
 from keysift.operators.evaluate import CLASS_NAMES
 from keysift.operators.rules import DEFAULT_RULES
 from keysift.operators.synth import NEGATIVE_TEMPLATES, POSITIVE_TEMPLATES
@@ -308,6 +309,16 @@ def _rules_object() -> str:
     return f"SELECT '{{' || coalesce(string_agg(entry, ',' ORDER BY ord), '') || '}}' AS value FROM ({cases})"
 
 
+_CLASSES = f"""WITH {_LABELLED}, {split_of('labelled')},
+keyed AS (SELECT *, md5(trim(regexp_replace({_NORMAL}, '[{WS}]+', ' ', 'g'))) AS content FROM split_rows),
+classes AS (SELECT content, count(*) AS n, count(*) FILTER (split = 'train') AS n_train,
+  count(*) FILTER (split = 'test') AS n_test, {", ".join(
+      f"count(*) FILTER (split = '{part}' AND label = {label}) AS {part}_{label}"
+      for part in ("train", "test") for label in (0, 1)
+  )} FROM keyed GROUP BY content),
+leaks AS (SELECT *, (train_1 + test_1 > 0) AND (train_0 + test_0 > 0) AS conflict FROM classes
+  WHERE n_train > 0 AND n_test > 0)"""
+
 _CHAT = """everything AS (SELECT conv_id, turn, text FROM conversations
   UNION ALL SELECT doc_id, -1, text FROM documents)"""
 
@@ -341,6 +352,8 @@ ORACLE: dict[str, str] = {
     "rule_stats": f"""WITH {spans(_DEFAULT)} SELECT type, count(*) AS matches, count(DISTINCT doc_id) AS texts
       FROM spans GROUP BY type""",
     "mask_flagged": f"SELECT doc_id, {_masked(_DEFAULT)} AS masked FROM documents",
+    "encrypt_flagged": f"""SELECT doc_id, {any_rule(_DEFAULT)} AS flagged, true AS opened,
+      CASE WHEN {any_rule(_DEFAULT)} THEN octet_length(encode(text))::INT + {OVERHEAD} END AS n_bytes FROM documents""",
     "detect_rules": _detect(_DEFAULT),
     "detect_custom_rules": _detect(_CUSTOM),
     "detect_hybrid": _detect(_DEFAULT, score=_SCORE),
@@ -383,6 +396,18 @@ ORACLE: dict[str, str] = {
     "stratified_split": f"""WITH labelled AS (SELECT doc_id, quality AS label FROM labels),
       {split_of('labelled')} SELECT doc_id, label, split FROM split_rows""",
     "split_roundtrip": f"WITH {_LABELLED}, {split_of('labelled')} SELECT doc_id, text, label, split FROM split_rows",
+    "leakage_audit": f"""{_CLASSES} SELECT doc_id, label, n_train, n_test,
+      CASE label WHEN 1 THEN train_1 ELSE train_0 END AS same_label,
+      CASE label WHEN 1 THEN train_0 ELSE train_1 END AS other_label, conflict
+      FROM keyed JOIN leaks USING (content) WHERE split = 'test'""",
+    "leakage_classes": f"{_CLASSES} SELECT * FROM leaks",
+    "leakage_summary": f"""{_CLASSES} SELECT label, sum(n_test)::BIGINT AS n_test, sum(n_leaked)::BIGINT AS n_leaked,
+      sum(n_contradicted)::BIGINT AS n_contradicted, round(sum(n_leaked) / sum(n_test), 6) AS share FROM (
+      {" UNION ALL ".join(
+          f"SELECT {x} AS label, test_{x} AS n_test, CASE WHEN n_train > 0 THEN test_{x} ELSE 0 END AS n_leaked, "
+          f"CASE WHEN train_{x} = 0 AND train_{1 - x} > 0 THEN test_{x} ELSE 0 END AS n_contradicted FROM classes"
+          for x in (0, 1)
+      )}) GROUP BY label""",
     "normalize_text": f"SELECT doc_id, {_NORMAL} || {_UNUSUAL} AS text FROM documents",
     "char_wb_ngrams": f"""WITH {_GRAMS}, digests AS (SELECT doc_id, count(*)::INT AS n,
       md5(string_agg(gram, '|' ORDER BY gram)) AS digest FROM grams GROUP BY doc_id)

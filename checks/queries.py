@@ -18,6 +18,7 @@ from keysift.operators.detect import (
     result_json,
     rule_stats,
 )
+from keysift.operators.encrypt import change_key, decrypt, encrypt_flagged, read_keys
 from keysift.operators.examples import (
     append_examples,
     class_deficit,
@@ -25,6 +26,7 @@ from keysift.operators.examples import (
     label_union,
     top_up,
 )
+from keysift.operators.leakage import leakage_summary, leaked_rows, leaks, text_classes
 from keysift.operators.profile import (
     with_char_counts,
     with_classifier_features,
@@ -189,6 +191,28 @@ def mask_flagged_query(spark, sf_dir):
     return mask_flagged(documents(spark, sf_dir)).drop("text")
 
 
+def encrypt_flagged_query(spark, sf_dir):
+    """Flagged documents sealed under one key, sealed anew under another, and opened again."""
+    path = scratch_path(spark, "keys")
+    ids = spark.range(2).select(F.concat(F.lit("key-"), "id").alias("key_id"))
+    keys = F.unhex(F.substring(F.concat(*[F.replace(F.uuid(), F.lit("-"))] * 2), 1, 64))
+    ids.withColumn("key", keys).write.parquet(path)
+    docs, keys = documents(spark, sf_dir), read_keys(spark, path)
+    sealed = encrypt_flagged(docs, keys, "key-0", bind=["doc_id"])
+    back = decrypt(change_key(sealed, keys, "key-1", bind=["doc_id"]), keys, bind=["doc_id"])
+    # Joined by id to what was sealed: is the text in the clear gone, and is it what it was once opened?
+    was = docs.select("doc_id", F.md5("text").alias("was"))
+    now = back.select("doc_id", F.md5("text").alias("now"), "failed")
+    rows = sealed.select("doc_id", F.col("text").isNull().alias("gone"), "sealed.sealed")
+    joined = rows.join(was, "doc_id").join(now, "doc_id")
+    return joined.select(
+        "doc_id",
+        F.col("gone").alias("flagged"),
+        (F.col("was").eqNullSafe(F.col("now")) & ~F.col("failed")).alias("opened"),
+        F.octet_length("sealed").alias("n_bytes"),
+    )
+
+
 def detect_rules(spark, sf_dir):
     return flat(detect(documents(spark, sf_dir)), "doc_id")
 
@@ -369,6 +393,25 @@ def split_roundtrip(spark, sf_dir):
     return files.read_split(spark, path)
 
 
+def _split_texts(spark, sf_dir) -> DataFrame:
+    return stratified_split(labelled(spark, sf_dir), "doc_id")
+
+
+def leakage_audit(spark, sf_dir):
+    """Test documents whose text is in the training part, and how often under which label."""
+    found = leaked_rows(_split_texts(spark, sf_dir))
+    return found.select("doc_id", "label", "leak.*")
+
+
+def leakage_classes(spark, sf_dir):
+    return leaks(text_classes(_split_texts(spark, sf_dir)))
+
+
+def leakage_summary_query(spark, sf_dir):
+    summary = leakage_summary(text_classes(_split_texts(spark, sf_dir)))
+    return summary.withColumn("share", F.round("share", 6))
+
+
 # Vectors
 
 
@@ -570,6 +613,7 @@ QUERIES: dict[str, Query] = {
     "spans_exploded": spans_exploded,
     "rule_stats": rule_stats_query,
     "mask_flagged": mask_flagged_query,
+    "encrypt_flagged": encrypt_flagged_query,
     "detect_rules": detect_rules,
     "detect_custom_rules": detect_custom_rules,
     "detect_hybrid": detect_hybrid,
@@ -591,6 +635,9 @@ QUERIES: dict[str, Query] = {
     "synth_negative": synth_negative,
     "stratified_split": stratified_split_query,
     "split_roundtrip": split_roundtrip,
+    "leakage_audit": leakage_audit,
+    "leakage_classes": leakage_classes,
+    "leakage_summary": leakage_summary_query,
     "normalize_text": normalize_text_query,
     "char_wb_ngrams": char_wb_ngrams,
     "gram_counts": gram_counts_query,

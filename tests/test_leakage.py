@@ -1,0 +1,101 @@
+import random
+import re
+import unicodedata
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from keysift.operators import keyed, leakage
+
+SCHEMA = "id long, text string, label int, split string"
+
+
+def content(text):
+    plain = unicodedata.normalize("NFKD", text.lower())
+    return " ".join("".join(c for c in plain if not unicodedata.combining(c)).split())
+
+
+def rows_of(seed):
+    chosen = random.Random(seed)
+    texts = ["Olá  mundo", "ola mundo", " OLÁ\tMUNDO\n", "senha", "SENHA ", "", "  ", "ﬁle", "file", None]
+    texts += [f"text {i}" for i in range(25)]
+    parts, labels = ["train", "test", None, "other"], [0, 1, 1, None, 7]
+    rows = [(i, chosen.choice(texts), chosen.choice(labels), chosen.choice(parts)) for i in range(300)]
+    # One text makes up a third of the table.
+    return rows + [(1000 + i, "a very common text", i % 2, "train" if i % 3 else "test") for i in range(150)]
+
+
+def classes_of(rows):
+    found = defaultdict(Counter)
+    for _, text, label, part in rows:
+        if text is not None:
+            found[content(text)]["n"] += 1
+            if part in ("train", "test"):
+                found[content(text)][f"n_{part}"] += 1
+                found[content(text)][f"{part}_{label}"] += 1
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("side", ["train", "test"])
+def test_leaks_equal_brute_force(spark, seed, side):
+    rows = rows_of(seed)
+    split = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    found = classes_of(rows)
+    other = "train" if side == "test" else "test"
+    expected = {}
+    for key, text, label, part in rows:
+        if text is not None and part == side:
+            c = found[content(text)]
+            if c[f"n_{other}"]:
+                same = c[f"{other}_{label}"] if label in (0, 1) else None
+                opposite = c[f"{other}_{1 - label}"] if label in (0, 1) else None
+                conflict = c["train_0"] + c["test_0"] > 0 < c["train_1"] + c["test_1"]
+                expected[key] = (c["n_train"], c["n_test"], same, opposite, conflict)
+    leaked = {r.id: tuple(r.leak) for r in leakage.leaked_rows(split, side=side).collect()}
+    assert leaked == expected and expected
+    kept = {r.id for r in leakage.without_leaks(split, drop=side).collect()}
+    assert kept == {r[0] for r in rows} - set(expected)
+
+
+def test_summary_equals_brute_force(spark):
+    rows = rows_of(3)
+    found = classes_of(rows)
+    summary = leakage.leakage_summary(leakage.text_classes(spark.createDataFrame(rows, SCHEMA))).collect()
+    for row in summary:
+        tested = [found[content(t)] for _, t, label, p in rows if t is not None and p == "test" and label == row.label]
+        leaked = [c for c in tested if c["n_train"]]
+        against = [c for c in tested if not c[f"train_{row.label}"] and c[f"train_{1 - row.label}"]]
+        assert (row.n_test, row.n_leaked, row.n_contradicted) == (len(tested), len(leaked), len(against))
+        assert row.share == len(leaked) / len(tested)
+    assert sorted(r.label for r in summary) == [0, 1]
+
+
+def test_leaks_keep_columns_and_take_nothing(spark):
+    split = spark.createDataFrame([(1, "a", 0, "train"), (2, "A", 1, "test")], SCHEMA)
+    names = ("content", "n", "row", "leak", "drop", "n_train", "conflict", "hot")
+    clashing = split.withColumns({c: F.lit(c) for c in names})
+    (row,) = leakage.leaked_rows(clashing).collect()
+    assert [row[c] for c in names] == list(names)
+    assert tuple(row["leak_"]) == (1, 1, 0, 1, True)
+    assert leakage.without_leaks(clashing).collect() == clashing.where("id = 2").collect()
+    assert leakage.leaked_rows(split.limit(0)).count() == 0
+    assert leakage.without_leaks(split.limit(0)).count() == 0
+    assert leakage.leakage_summary(leakage.text_classes(split.limit(0))).count() == 0
+    with pytest.raises(ValueError):
+        leakage.leaked_rows(split, side="all")
+
+
+def test_common_text_is_not_exchanged(spark):
+    """Rows of a text with over a thousandth of the table never meet in an exchange by their text."""
+    common = spark.range(2000).select("id", F.lit("common").alias("text"))
+    rare = spark.range(4000).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    split = common.union(rare).select(
+        "id", "text", F.lit(1).alias("label"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split")
+    )
+    classes = leakage.stored(leakage._with_conflict(leakage.text_classes(split)), "classes")
+    rows = split.select("id", leakage.content_key(F.col("text")).alias("content"))
+    few, hot, others = keyed._parted(rows, classes, "content", "n")
+    assert few.count() == 1 and others.count() == 4000
+    assert re.fullmatch("[0-9a-f]{32}", few.first().content)
