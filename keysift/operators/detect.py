@@ -28,16 +28,26 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def matches_any_rule(text: Column, rules=None) -> Column:
-    """True where at least one rule matches. Literal tests run first, a regex only where they hold.
+    """True where at least one rule matches. Literal tests run first, a regex only where they hold; rules
+    with the same literals share one test.
 
     The lowercased text is bound to a lambda variable: a filter would otherwise compute it again for
     every literal.
     """
-    rules = as_rules(rules)
-    return F.exists(
-        F.array(F.lower(text)),
-        lambda lowered: _any([r.may_match(lowered) & text.rlike(r.java_pattern()) for r in rules]),
-    )
+    by_literals: dict[tuple[str, ...], list[Rule]] = {}
+    for rule in as_rules(rules):
+        by_literals.setdefault(rule.literals(), []).append(rule)
+
+    def any_match(lowered: Column) -> Column:
+        groups = by_literals.values()
+        return _any(
+            [
+                group[0].may_match(lowered) & _any([text.rlike(r.java_pattern()) for r in group])
+                for group in groups
+            ]
+        )
+
+    return F.exists(F.array(F.lower(text)), any_match)
 
 
 def _scan(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keysift.functions.literals import holds_any, required
+
 # Flag bits of the Python ``regex`` module, as written in exported rule files.
 IGNORECASE, MULTILINE, DOTALL, UNICODE, VERBOSE, ASCII, VERSION0 = 2, 8, 16, 32, 64, 128, 8192
 
@@ -19,8 +21,9 @@ RULE_SCHEMA = "ord INT, rule STRING, pattern STRING, flags INT"
 class Rule:
     """One named pattern with Python flag bits.
 
-    ``needles`` are lowercase ASCII literals of which any match must hold at least one, up to case.
-    They are a cheap test before the regex; a rule without needles runs its regex on every text.
+    ``needles`` are lowercase literals of which any match must hold at least one, up to case. They are a
+    cheap test before the regex. Where none are given, they are derived from the pattern; a rule whose
+    pattern has none either runs its regex on every text.
     """
 
     name: str
@@ -42,12 +45,16 @@ class Rule:
             letters += letter if self.flags & bit else ""
         return f"(?{letters}){self.pattern}"
 
+    def literals(self) -> tuple[str, ...]:
+        """The needles, or else what the pattern says that any match must hold."""
+        flags = self.flags
+        return self.needles or required(
+            self.pattern, bool(flags & IGNORECASE), not flags & ASCII, bool(flags & VERBOSE)
+        )
+
     def may_match(self, lowered: Column) -> Column:
         """False only where the rule cannot match; takes the lowercased text."""
-        found = F.lit(not self.needles)
-        for needle in self.needles:
-            found = found | lowered.contains(F.lit(needle))
-        return found
+        return holds_any(lowered, self.literals()) if self.literals() else F.lit(True)
 
 
 # Separator and optional opening quote between a keyword and its value.
