@@ -378,6 +378,8 @@ ORACLE: dict[str, str] = {
     "ingest_testset": r"""SELECT pos, line AS text, regexp_matches(line, '[0-9]')::INT AS label, count(*) AS n
       FROM (SELECT unnest(range(0, len(lines)))::INT AS pos, unnest(lines) AS line
         FROM (SELECT string_split(text, chr(10)) AS lines FROM documents)) GROUP BY ALL""",
+    "ingest_testset_object": """SELECT 0 AS pos, NULL::VARCHAR AS text, NULL::INT AS label UNION ALL
+      SELECT row_number() OVER (ORDER BY doc_id)::INT, text, regexp_matches(text, '[0-9]')::INT FROM documents""",
     "append_examples": """SELECT text, false AS is_credential, 'manual' AS source FROM documents
       UNION ALL SELECT text, true, 'user_input' FROM conversations""",
     "label_union": f"WITH {_LABELLED} SELECT text, label FROM labelled",

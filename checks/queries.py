@@ -347,6 +347,28 @@ def ingest_testset(spark, sf_dir):
     return rows.groupBy("pos", "text", "label").agg(F.count("*").alias("n"))
 
 
+def ingest_testset_object(spark, sf_dir):
+    """All documents as one test object in one file, labelled by whether they have a digit, read by blocks."""
+    path = scratch_path(spark, "testset-object")
+    docs = documents(spark, sf_dir)
+    label = F.col("text").rlike("[0-9]").cast("int")
+    # A string is the first value of an array, and what the JSON writer makes of that has no line breaks.
+    value = F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
+    line = F.concat(F.lit(", "), value).alias("value")
+    parts = [
+        docs.limit(1).select(F.lit(0).alias("part"), F.lit(0).alias("doc_id"), F.lit('{"texts": [null').alias("value")),
+        docs.select(F.lit(1).alias("part"), "doc_id", line),
+        docs.limit(1).select(F.lit(2).alias("part"), F.lit(0).alias("doc_id"), F.lit('], "labels": [null').alias("value")),
+        docs.select(F.lit(3).alias("part"), "doc_id", F.concat(F.lit(", "), label).alias("value")),
+        docs.limit(1).select(F.lit(4).alias("part"), F.lit(0).alias("doc_id"), F.lit("]}").alias("value")),
+    ]
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    lines.orderBy("part", "doc_id").select("value").coalesce(1).write.text(path)
+    return files.read_testset(spark, path)
+
+
 def append_examples_query(spark, sf_dir):
     """Two labelled batches appended to the same folder."""
     path = scratch_path(spark, "append")
@@ -627,6 +649,7 @@ QUERIES: dict[str, Query] = {
     "ingest_csv": ingest_csv,
     "ingest_lines": ingest_lines,
     "ingest_testset": ingest_testset,
+    "ingest_testset_object": ingest_testset_object,
     "append_examples": append_examples_query,
     "label_union": label_union_query,
     "class_deficit": class_deficit_query,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysift.functions.chars import strip
 from keysift.operators.examples import EXAMPLE_SCHEMA
+from keysift.operators.keyed import stored
+from keysift.sources import pieces
 from keysift.sources.paths import if_found
 
 _FIELDS = "struct<text:string,is_credential:string,source:string>"
@@ -87,6 +89,20 @@ def load_examples(
     return parts[0].unionByName(parts[1])
 
 
+def read_csv_records(spark: SparkSession, path: str, has_header: bool = False) -> DataFrame | None:
+    """``(file, block, place, record)`` of CSV files, or None where the path does not exist: records as
+    they stand, without empty ones, and without the first of each file if that is a header. Lines before a
+    header may be empty, but not fill a whole block. Line ends are one character, inside quotes too."""
+    lines = pieces.read_pieces(spark, path, "\n")
+    if lines is None:
+        return None
+    found = pieces.records(lines, "\n", pieces.csv_ends_inside, blank=("", "\r", "\ufeff", "\ufeff\r"))
+    first = (F.col("block") == 0) & (F.col("place") == 0)
+    record = F.regexp_replace("record", "\\r(\n|\\z)", "$1")
+    record = F.when(first, F.regexp_replace(record, "^\\x{feff}", "")).otherwise(record)
+    return found.where(~first if has_header else F.lit(True)).withColumn("record", record)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -95,27 +111,31 @@ def read_csv(
     label_col: int = 1,
     on_bad: str = "quarantine",
     multiline: bool = True,
+    whole_files: bool = False,
 ) -> DataFrame:
     """CSV rows as ``(text, is_credential, source, bad_label)``.
 
     A missing file gives an empty table. Columns go by position; rows that end before the text or the
-    label are skipped. Any integer but zero is a positive. Other labels, empty ones too, fail the job with ``on_bad="fail"``, else the row comes with a null
-    class and its label in ``bad_label``; see ``split_rejects``. ``multiline=False`` lets Spark
-    split large files, for data without line breaks inside quotes.
+    label are skipped. Any integer but zero is a positive. Other labels, empty ones too, fail the job
+    with ``on_bad="fail"``, else the row comes with a null class and its label in ``bad_label``; see
+    ``split_rejects``.
+
+    Lines may break inside quotes, and many tasks read a large file all the same: see ``pieces``. That
+    takes three passes over it. ``multiline=False`` reads data without such breaks in one;
+    ``whole_files=True`` reads each file in one task and one pass, for many small ones.
     """
     if on_bad not in ("quarantine", "fail"):
         raise ValueError("on_bad must be 'quarantine' or 'fail'")
     width = max(text_col, label_col) + 1
     schema = ", ".join([*(f"c{i} STRING" for i in range(width)), "raw STRING"])
-    reader = spark.read.schema(schema).options(
-        header=has_header,
-        multiLine=multiline,
-        quote='"',
-        escape='"',
-        enforceSchema=True,
-        columnNameOfCorruptRecord="raw",
-    )
-    raw = if_found(reader.csv, path)
+    options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": "raw"}
+    if multiline and not whole_files:
+        lines = read_csv_records(spark, path, has_header)
+        parsed = F.from_csv("record", schema, options | {"multiLine": "true"})
+        raw = None if lines is None else lines.select(parsed.alias("r")).select("r.*")
+    else:
+        reader = spark.read.schema(schema).options(header=has_header, multiLine=multiline, enforceSchema=True, **options)
+        raw = if_found(reader.csv, path)
     if raw is None:
         return spark.createDataFrame([], f"{EXAMPLE_SCHEMA}, bad_label STRING")
     # The raw record is there for rows that are shorter or longer than the columns asked for.
@@ -155,24 +175,119 @@ def read_line_examples(spark: SparkSession, path: str, is_credential: bool) -> D
     )
 
 
-def read_testset(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame | None:
+def read_testset(
+    spark: SparkSession, path: str, multiline: bool = True, whole_files: bool = False
+) -> DataFrame | None:
     """Test rows ``(pos, text, label)`` of JSON objects ``{"texts": [...], "labels": [...]}``, or
     None where the path does not exist.
 
-    Texts and labels of unequal number fail the job. A file is one object, or with ``multiline=False`` one object per line, which Spark can split.
+    Texts and labels of unequal number fail the job. A file is one object, or with ``multiline=False`` one
+    object per line, which Spark can split. The object of a file may be large: many tasks read it, see
+    ``testset_elements``. ``whole_files=True`` reads each file in one task, for many small ones, and takes
+    any other keys beside the two; otherwise those must not hold objects or arrays of arrays.
     """
+    if multiline and not whole_files:
+        return _paired(spark, path)
     schema = "texts ARRAY<STRING>, labels ARRAY<INT>"
     sets = if_found(spark.read.schema(schema).option("multiLine", multiline).json, path)
     if sets is None:
         return None
     zipped = F.arrays_zip("texts", "labels")
-    message = F.lit("a test set has texts and labels of unequal number").cast("string")
     unequal = ~F.size("texts").eqNullSafe(F.size("labels"))
+    message = F.lit(UNEQUAL).cast("string")
     checked = F.when(unequal, F.array_repeat(F.element_at(zipped, 1), F.raise_error(message).cast("int")))
     rows = sets.select(F.posexplode(checked.otherwise(zipped)).alias("pos", "row"))
     return rows.select("pos", F.col("row.texts").alias("text"), F.col("row.labels").alias("label"))
 
 
+UNEQUAL = "a test set has texts and labels of unequal number"
+# What may stand before and after a value of an array, in a stretch of an object between two commas.
+_BEFORE = r"^\s*+(\{\s*+)?+(?:(\"(?:[^\"\\]++|\\.)*+\")\s*+:\s*+)?+(\[\s*+)?+"
+
+
+def _element(batches):
+    """Of stretches between commas: the key that begins there, if one does, and the value as JSON."""
+    import json
+    import re
+
+    import pyarrow as pa
+
+    before = re.compile(_BEFORE, re.DOTALL)
+    for batch in batches:
+        keys, values = [], []
+        for stretch in batch.column("record").to_pylist():
+            start = before.match(stretch)
+            value = stretch[start.end() :].rstrip(" \t\r\n]}")
+            if value[:1] in ("{", "["):
+                raise ValueError("a test set holds more than arrays of values: read it with whole_files=True")
+            keys.append(json.loads(start[2]) if start[2] else None)
+            values.append(value or None)
+        columns = [batch.column(c) for c in ("file", "block", "place")]
+        columns += [pa.array(keys, pa.string()), pa.array(values, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "place", "key", "value"])
+
+
+def testset_elements(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(file, key, pos, value)``: the values of all arrays of the objects that files are, as JSON, by key
+    and position. A file is cut at its commas, so many tasks read a large one.
+
+    Positions come from counts: values are numbered within their block, blocks by a prefix over the counts
+    of those before, and a position is the number since the key. Stored, as counts and values are read.
+    """
+    stretches = pieces.read_pieces(spark, path, ",")
+    if stretches is None:
+        return None
+    schema = "file string, block long, place int, key string, value string"
+    elements = pieces.records(stretches, ",", pieces.json_ends_inside).mapInArrow(_element, schema)
+    elements = stored(elements, "testset")
+    # The last key of a block, and how many values follow it there, or there are if it has none.
+    in_block = Window.partitionBy("file", "block").orderBy("place")
+    elements = elements.withColumn("nth_key", F.count("key").over(in_block))
+    has_value = F.col("value").isNotNull()
+    per_key = elements.groupBy("file", "block", "nth_key").agg(
+        F.count("value").alias("n"), F.max("key").alias("key")
+    )
+    latest = per_key.groupBy("file", "block").agg(F.max_by(F.struct("key", "n"), "nth_key").alias("last"))
+    in_file = Window.partitionBy("file").orderBy("block")
+    carried = latest.select("file", "block", F.col("last.key").alias("last_key"), F.col("last.n").alias("n"))
+    carried = carried.withColumn("run", F.count("last_key").over(in_file))
+    upto = F.sum("n").over(Window.partitionBy("file", "run").orderBy("block"))
+    carried = carried.withColumns({"upto": upto, "known": F.last("last_key", True).over(in_file)})
+    carried = carried.select(
+        "file",
+        "block",
+        F.lag("known").over(in_file).alias("key_before"),
+        F.lag("upto", 1, 0).over(in_file).alias("n_before"),
+    )
+    since_key = Window.partitionBy("file", "block", "nth_key").orderBy("place")
+    numbered = elements.withColumns(
+        {"key": F.max("key").over(since_key), "nth": F.count("value").over(since_key) - 1}
+    ).where(has_value)
+    # At most one row per block, of which ``pieces`` allows so many.
+    joined = numbered.join(F.broadcast(carried), ["file", "block"])
+    goes_on = F.col("nth_key") == 0
+    return joined.select(
+        "file",
+        F.when(goes_on, F.col("key_before")).otherwise(F.col("key")).alias("key"),
+        (F.col("nth") + F.when(goes_on, F.col("n_before")).otherwise(0)).alias("pos"),
+        "value",
+    )
+
+
+def _paired(spark: SparkSession, path: str) -> DataFrame | None:
+    elements = testset_elements(spark, path)
+    if elements is None:
+        return None
+    texts = elements.where("key = 'texts'").select("file", "pos", F.col("value").alias("text"))
+    labels = elements.where("key = 'labels'").select("file", "pos", F.col("value").alias("label"), F.lit(1).alias("l"))
+    pairs = texts.withColumn("t", F.lit(1)).join(labels, ["file", "pos"], "full")
+    alone = F.col("t").isNull() | F.col("l").isNull()
+    text = F.from_json(F.concat(F.lit('{"v":'), "text", F.lit("}")), "v STRING", _STRICT)["v"]
+    checked = F.when(alone, F.raise_error(F.lit(UNEQUAL)).cast("string")).otherwise(text)
+    label = F.from_json(F.concat(F.lit('{"v":'), "label", F.lit("}")), "v INT", _STRICT)["v"]
+    return pairs.select(F.col("pos").cast("int").alias("pos"), checked.alias("text"), label.alias("label"))
+
+
 def write_split(df: DataFrame, path: str) -> None:
     """Store a split table, one folder per part."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
