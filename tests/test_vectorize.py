@@ -185,3 +185,20 @@ def test_vocabulary_json(spark, texts):
     expected = {r.gram: (r.idx, r.idf) for r in vocabulary.collect()}
     assert {r.gram: (r.idx, r.idf) for r in read.collect()} == expected
     assert artifacts.read_vocabulary(spark, path + "-none") is None
+
+
+def test_every_code_point_decomposes_in_the_jvm(spark):
+    """All of Unicode, 64 characters a row, as Python decomposes them; no row goes to Python."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = ["|".join(map(chr, points[i : i + 64])) for i in range(0, len(points), 64)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string").repartition(8)
+    stripped = df.select("id", strip_accents(F.col("text")).alias("s"))
+    assert "Python" not in stripped._jdf.queryExecution().executedPlan().toString()
+    for row in stripped.collect():
+        decomposed = unicodedata.normalize("NFKD", rows[row.id])
+        assert row.s == "".join(c for c in decomposed if not unicodedata.combining(c))
+
+
+def test_fit_stays_in_the_jvm(spark, texts):
+    grams = gram_counts(texts(["Ação ﬁle 한글", "açao"]))
+    assert "Python" not in grams._jdf.queryExecution().executedPlan().toString()
