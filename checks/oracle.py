@@ -382,6 +382,7 @@ ORACLE: dict[str, str] = {
       SELECT row_number() OVER (ORDER BY doc_id)::INT, text, regexp_matches(text, '[0-9]')::INT FROM documents""",
     "append_examples": """SELECT text, false AS is_credential, 'manual' AS source FROM documents
       UNION ALL SELECT text, true, 'user_input' FROM conversations""",
+    "append_stream": "SELECT text, true AS is_credential, 'user_input' AS source FROM conversations",
     "label_union": f"WITH {_LABELLED} SELECT text, label FROM labelled",
     "class_deficit": f"""SELECT is_credential, count(e.is_credential) AS n,
       greatest(500 - count(e.is_credential), 0) AS deficit
@@ -438,6 +439,23 @@ ORACLE: dict[str, str] = {
     "eval_report": f"{_SCORED} {_REPORT}",
     "eval_summary": f"""{_SCORED} SELECT n, round((tn + tp) / n, 6) AS accuracy, round({_F1}, 6) AS f1,
       round(auc, 6) AS roc_auc FROM cells, area""",
+    "eval_joined": f"""WITH {detected(_DEFAULT, score=_SCORE)},
+      found AS (SELECT doc_id, has_credential::INT AS p FROM detected),
+      predictions AS (SELECT CASE WHEN doc_id % 10 <> 3 THEN doc_id END AS key, p FROM found
+        UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 - p ELSE p END FROM found WHERE doc_id % 7 = 0),
+      marks AS (SELECT doc_id AS key, toxic AS l FROM labels
+        UNION ALL SELECT doc_id, toxic FROM labels WHERE doc_id % 4 = 0
+        UNION ALL SELECT -1 - doc_id, toxic FROM labels WHERE doc_id % 5 = 0),
+      ps AS (SELECT key, count(*) AS n, min(p) AS lo, max(p) AS hi FROM predictions WHERE key IS NOT NULL GROUP BY key),
+      ls AS (SELECT key, count(*) AS n, min(l) AS lo, max(l) AS hi FROM marks WHERE key IS NOT NULL GROUP BY key),
+      pairs AS (SELECT ps.n AS np, ls.n AS nl, ps.lo AS p, ls.lo AS l, ps.lo = ps.hi AND ls.lo = ls.hi AS ok
+        FROM ps FULL JOIN ls USING (key))
+      SELECT {", ".join(f"count(*) FILTER (ok AND l = {t} AND p = {p}) AS {c}" for c, t, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1)))},
+      count(*) FILTER (ok) AS matched, count(*) FILTER (np > 0 AND nl > 0 AND NOT ok) AS conflicting,
+      count(*) FILTER (nl IS NULL) AS predicted_only, count(*) FILTER (np IS NULL) AS labelled_only,
+      count(*) FILTER (np > 1) AS repeated_predictions, count(*) FILTER (nl > 1) AS repeated_labels,
+      (SELECT count(*) FROM predictions WHERE key IS NULL) AS predictions_without_key,
+      (SELECT count(*) FROM marks WHERE key IS NULL) AS labels_without_key FROM pairs""",
     "pr_curve": f"""{_SCORED} SELECT round(threshold, 6) AS threshold, round(tp / (tp + fp), 6) AS precision,
       round(tp / (SELECT p FROM sides), 6) AS recall FROM curve UNION ALL SELECT NULL, 1.0, 0.0""",
     "roc_curve": f"""{_SCORED}, stepped AS (SELECT *, row_number() OVER (ORDER BY threshold DESC) AS i,
@@ -462,6 +480,8 @@ ORACLE: dict[str, str] = {
             reports.MATRIX,
             reports.SETTINGS,
             *[f"{key}: {value}" for key, value in TrainingConfig().as_dict().items()],
+            *[f"{name}: true" for name in (*CLASS_NAMES, "accuracy", "macro avg", "weighted avg")],
+            *[f"{name}: true" for name in ("total", "matrix row 0", "matrix row 1")],
         ]
     )}) lines(value)""",
     "score_model": f"""WITH {detected(_DEFAULT)} SELECT doc_id, has_credential AS rule_hit, true AS sound,

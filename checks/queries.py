@@ -33,6 +33,7 @@ from keysift.operators.profile import (
     with_feature_string,
     with_profile,
 )
+from keysift.operators.reconcile import reconciled, reconciliation
 from keysift.operators.rules import as_rules, rules_table
 from keysift.operators.split import stratified_split
 from keysift.operators.synth import negative_examples, positive_examples
@@ -51,6 +52,7 @@ from keysift.plans.detector import Detector, load_detector
 from keysift.plans.training import fit_text_model, load_model, run_training, save_model
 from keysift.session import scratch_path, spread
 from keysift.sources import artifacts, files
+from keysift.streaming.append import append_stream, write_batch
 from keysift.streaming.detect import detect_stream, read_text_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,6 +380,19 @@ def append_examples_query(spark, sf_dir):
     return files.read_jsonl(spark, path)
 
 
+def append_stream_query(spark, sf_dir):
+    """Chat messages as a stream appended to a JSONL table, and its first batch written once more."""
+    schema = table(spark, sf_dir, "conversations").schema
+    stream = read_text_stream(spark, sf_dir, schema, "conversations.parquet")
+    path = scratch_path(spark, "append-stream")
+    append_stream(
+        stream, path, scratch_path(spark, "append-state"), True, "chat", "user_input", available_now=True
+    ).awaitTermination()
+    chat = spread(table(spark, sf_dir, "conversations"), TASKS)
+    write_batch(label_examples(chat, True, "user_input"), 0, path, "chat")
+    return files.read_jsonl(spark, path)
+
+
 # Labelled data
 
 
@@ -556,6 +571,20 @@ def eval_summary(spark, sf_dir):
     return _rounded(result.summary, "accuracy", "f1", "roc_auc")
 
 
+def eval_joined(spark, sf_dir):
+    """Detections and labels as two tables: some documents predicted twice, some of those against
+    themselves, some labels of other documents, some rows without a key."""
+    found = detect(documents(spark, sf_dir), score=digit_score).select("doc_id", "has_credential", "confidence")
+    again = found.where("doc_id % 7 = 0").withColumn(
+        "has_credential", F.when(F.col("doc_id") % 2 == 0, ~F.col("has_credential")).otherwise(F.col("has_credential"))
+    )
+    keyless = found.where("doc_id % 10 = 3").withColumn("doc_id", F.lit(None).cast("long"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    strange = labels.where("doc_id % 5 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    predictions = found.where("doc_id % 10 <> 3").union(again).union(keyless)
+    return reconciliation(reconciled(predictions, labels.union(labels.where("doc_id % 4 = 0")).union(strange), "doc_id"))
+
+
 def pr_curve(spark, sf_dir):
     points = ev.curve_points(_counts(spark, sf_dir))
     return _rounded(ev.pr_curve(points), "threshold", "precision", "recall")
@@ -576,20 +605,93 @@ def auc(spark, sf_dir):
 # Model
 
 
+def _measures(matrix: DataFrame) -> DataFrame:
+    """``(class, precision, recall, f1, support)`` of a confusion matrix, by joins of its margins: the same
+    measures as the report's, computed another way."""
+    hits = matrix.where("label = prediction").select("label", F.col("n").alias("hit"))
+    real = matrix.groupBy("label").agg(F.sum("n").alias("support"))
+    claimed = matrix.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("claimed"))
+    rows = hits.join(real, "label").join(claimed, "label")
+    rows = rows.withColumns(
+        {
+            "precision": F.coalesce(F.try_divide("hit", "claimed"), F.lit(0.0)),
+            "recall": F.coalesce(F.try_divide("hit", "support"), F.lit(0.0)),
+        }
+    )
+    both = F.col("precision") + F.col("recall")
+    rows = rows.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), both), F.lit(0.0)))
+    names = F.array(*[F.lit(name) for name in ev.CLASS_NAMES])
+    per_class = rows.select(F.get(names, F.col("label")).alias("class"), "precision", "recall", "f1", "support")
+    total = F.sum("support")
+    summed = [
+        rows.agg(
+            F.lit("accuracy").alias("class"),
+            F.lit(None).cast("double").alias("precision"),
+            F.lit(None).cast("double").alias("recall"),
+            (F.sum("hit") / total).alias("f1"),
+            total.alias("support"),
+        ),
+        rows.agg(F.lit("macro avg").alias("class"), *[F.avg(m).alias(m) for m in MEASURES], total.alias("support")),
+        rows.agg(
+            F.lit("weighted avg").alias("class"),
+            *[(F.sum(F.col(m) * F.col("support")) / total).alias(m) for m in MEASURES],
+            total.alias("support"),
+        ),
+    ]
+    return per_class.union(summed[0]).union(summed[1]).union(summed[2])
+
+
+MEASURES = ("precision", "recall", "f1")
+
+
 def train_forest(spark, sf_dir):
     """Train on the labelled documents and report on the held-out share: the support of each class, and
-    whether the measures lie between 0 and 1. Which trees grow is the library's choice."""
-    rows = run_training(labelled(spark, sf_dir), key="doc_id").report()
-    sound = [F.coalesce(F.col(m).between(0, 1), F.lit(True)) for m in ("precision", "recall", "f1")]
-    return rows.select("class", "support", (sound[0] & sound[1] & sound[2]).alias("sound"))
+    whether each measure is what follows from the confusion matrix. Which trees grow is the library's choice."""
+    result = run_training(labelled(spark, sf_dir), key="doc_id")
+    own = _measures(result.confusion()).withColumnsRenamed({m: f"own_{m}" for m in (*MEASURES, "support")})
+    rows = result.report().join(own, "class", "left")
+    sound = F.col("support") == F.col("own_support")
+    for m in MEASURES:
+        same = F.abs(F.col(m) - F.col(f"own_{m}")) < 1e-9
+        sound = sound & F.coalesce(same, F.col(m).isNull() & F.col(f"own_{m}").isNull())
+    return rows.select("class", "support", F.coalesce(sound, F.lit(False)).alias("sound"))
 
 
 def train_report(spark, sf_dir):
-    """The lines of the report that do not depend on the trees: headings and settings."""
-    lines = run_training(labelled(spark, sf_dir), key="doc_id").report_lines()
-    start = lines.index(reports.SETTINGS)
-    kept = [line for line in lines[:start] if line in (reports.REPORT, reports.MATRIX)]
-    return spark.createDataFrame([(line,) for line in kept + lines[start:]], "value STRING")
+    """The lines of the report: headings and settings as they stand; of each line with numbers, whether
+    these follow from the confusion matrix."""
+    result = run_training(labelled(spark, sf_dir), key="doc_id")
+    lines = [line for line in result.report_lines() if line.strip()]
+    written = spark.createDataFrame(list(enumerate(lines)), "n INT, line STRING")
+    matrix = result.confusion()
+    own = _measures(matrix)
+
+    def shown(value):
+        return F.when(value.isNull(), "").otherwise(F.format_string("%.2f", value))
+
+    # As words, without the blanks that line them up.
+    per_class = own.select(
+        F.col("class").alias("name"),
+        F.concat_ws(" ", "class", *[shown(F.col(m)) for m in MEASURES], F.col("support").cast("string")).alias("words"),
+    )
+    total = own.where("class = 'accuracy'").select(
+        F.lit("total").alias("name"), F.concat(F.lit(reports.ACCURACY), F.col("f1").cast("string")).alias("words")
+    )
+    cells = matrix.groupBy("label").pivot("prediction", [0, 1]).agg(F.first("n"))
+    rows = cells.select(
+        F.concat(F.lit("matrix row "), "label").alias("name"), F.concat_ws(" ", "0", "1").alias("words")
+    )
+    expected = per_class.union(total).union(rows)
+    expected = expected.withColumn("words", F.trim(F.regexp_replace("words", " +", " ")))
+    # A row of the matrix stands in brackets.
+    bare = F.trim(F.regexp_replace(F.regexp_replace("line", r"[\[\]]", " "), " +", " "))
+    checked = expected.join(written.withColumn("words", bare), "words", "left").groupBy("name").agg(
+        F.count("n").alias("found")
+    )
+    names = F.concat("name", F.lit(": "), (F.col("found") > 0).cast("string"))
+    kept = [reports.REPORT, reports.MATRIX, reports.SETTINGS]
+    settings = written.where((F.col("n") > lines.index(reports.SETTINGS)) | F.col("line").isin(kept))
+    return settings.select(F.col("line").alias("value")).union(checked.select(names))
 
 
 def score_model(spark, sf_dir):
@@ -651,6 +753,7 @@ QUERIES: dict[str, Query] = {
     "ingest_testset": ingest_testset,
     "ingest_testset_object": ingest_testset_object,
     "append_examples": append_examples_query,
+    "append_stream": append_stream_query,
     "label_union": label_union_query,
     "class_deficit": class_deficit_query,
     "topup_examples": topup_examples,
@@ -674,6 +777,7 @@ QUERIES: dict[str, Query] = {
     "eval_confusion": eval_confusion,
     "eval_report": eval_report,
     "eval_summary": eval_summary,
+    "eval_joined": eval_joined,
     "pr_curve": pr_curve,
     "roc_curve": roc_curve,
     "auc": auc,

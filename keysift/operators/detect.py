@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.functions.spans import SPAN_TYPE, spans
+from keysift.operators.keyed import unused
 from keysift.operators.rules import Rule, as_rules, check_rules
 
 RESULT_COLUMNS = ["has_credential", "confidence", "matches", "match_positions"]
@@ -50,34 +51,35 @@ def matches_any_rule(text: Column, rules=None) -> Column:
     return F.exists(F.array(F.lower(text)), any_match)
 
 
-def _scan(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
-    """Add ``_hit``, whether any rule matches, and ``_spans``, all matches.
+def _scan(df: DataFrame, text: str, rules: list[Rule]) -> tuple[DataFrame, str, str]:
+    """``df`` with two more columns, and their names: whether any rule matches, and all matches.
 
-    ``_hit`` does not depend on the spans: a filter on it stays a cheap test next to the scan, and a
+    The first does not depend on the spans: a filter on it stays a cheap test next to the scan, and a
     result without positions never computes them. Each step is its own projection, so that no regex
     runs twice on a text.
     """
     check_rules(df.sparkSession, rules)
-    hits = df.withColumn("_hit", matches_any_rule(F.col(text), rules))
+    hit, found, gaps, located = (unused(df, name) for name in ("_hit", "_found", "_gaps", "_spans"))
+    hits = df.withColumn(hit, matches_any_rule(F.col(text), rules))
     patterns = [rule.java_pattern() for rule in rules]
     extracted = F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
-    found = hits.withColumn("_found", F.when(F.col("_hit"), extracted.cast(LISTS_TYPE)))
-    gaps = [
-        F.when(F.size(F.get("_found", F.lit(i))) > 0, F.split(text, p, -1))
-        for i, p in enumerate(patterns)
+    hits = hits.withColumn(found, F.when(F.col(hit), extracted.cast(LISTS_TYPE)))
+    between = [
+        F.when(F.size(F.get(found, F.lit(i))) > 0, F.split(text, p, -1)) for i, p in enumerate(patterns)
     ]
-    split = found.withColumn("_gaps", F.when(F.col("_hit"), F.array(*gaps).cast(LISTS_TYPE)))
+    split = hits.withColumn(gaps, F.when(F.col(hit), F.array(*between).cast(LISTS_TYPE)))
     names = F.array(*[F.lit(rule.name) for rule in rules]).cast("array<string>")
-    located = F.transform(
-        "_found", lambda matches, i: spans(matches, F.get("_gaps", i), F.get(names, i))
+    placed = F.transform(
+        found, lambda matches, i: spans(matches, F.get(gaps, i), F.get(names, i))
     )
     # Where the optimizer copies this into a filter, a text without a match costs one test.
-    everything = F.when(F.col("_hit"), F.flatten(located))
-    return split.select(
+    everything = F.when(F.col(hit), F.flatten(placed))
+    scanned = split.select(
         *df.columns,
-        F.coalesce("_hit", F.lit(False)).alias("_hit"),
-        F.coalesce(everything, F.array().cast(SPAN_TYPE)).alias("_spans"),
+        F.coalesce(hit, F.lit(False)).alias(hit),
+        F.coalesce(everything, F.array().cast(SPAN_TYPE)).alias(located),
     )
+    return scanned, hit, located
 
 
 def match_spans(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
@@ -88,13 +90,14 @@ def match_spans(df: DataFrame, text: str = "text", rules=None) -> DataFrame:
     """
     rules = as_rules(rules)
     names = F.array(*[F.lit(rule.name) for rule in rules])
-    hits = _scan(df, text, rules).where("_hit")
+    scanned, hit, located = _scan(df, text, rules)
+    span = unused(df, "span")
     # Each hit has spans. The outer form keeps the optimizer from adding a test of their number.
-    exploded = hits.select(*df.columns, F.explode_outer("_spans").alias("span"))
+    exploded = scanned.where(F.col(hit)).select(*df.columns, F.explode_outer(located).alias(span))
     return exploded.select(
         *df.columns,
-        (F.array_position(names, F.col("span.type")) - 1).cast("int").alias("rule_order"),
-        "span.*",
+        (F.array_position(names, F.col(f"{span}.type")) - 1).cast("int").alias("rule_order"),
+        f"{span}.*",
     )
 
 
@@ -121,8 +124,8 @@ def mask_flagged(df: DataFrame, text: str = "text", rules=None, out: str = "mask
     return df.withColumn(out, F.when(hit, masked).otherwise(F.col(text)))
 
 
-def _with_result(df: DataFrame, columns: list[str], has: Column, matches: Column) -> DataFrame:
-    positions = F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["type"]))
+def _with_result(df: DataFrame, columns: list[str], located: str, has: Column, matches: Column) -> DataFrame:
+    positions = F.transform(located, lambda s: F.struct(s["start"], s["end"], s["type"]))
     return df.select(
         *columns,
         has.alias("has_credential"),
@@ -152,12 +155,12 @@ def detect(
     taken = {name.lower() for name in [*RESULT_COLUMNS, "score_text", "text_chars"]} - {text.lower()}
     df = df.select(*[c for c in df.columns if c.lower() not in taken])
     measured = df if score is None else df.withColumn("text_chars", F.length(text))
-    found = _scan(measured, text, as_rules(rules))
-    hit = F.col("_hit")
-    rule_matches = F.col("_spans.match")
+    found, hit_name, located = _scan(measured, text, as_rules(rules))
+    hit = F.col(hit_name)
+    rule_matches = F.col(f"{located}.match")
     if score is None:
         decided = found.withColumn("confidence", hit.cast("int").cast("double"))
-        return _with_result(decided, df.columns, hit, rule_matches)
+        return _with_result(decided, df.columns, located, hit, rule_matches)
 
     scored = score(found.withColumn("score_text", F.when(~hit, F.col(text))))
     confidence = F.when(hit, F.lit(1.0)).otherwise(F.coalesce("confidence", F.lit(0.0)))
@@ -168,7 +171,7 @@ def detect(
         .when(over, F.array(F.col(text)))
         .otherwise(F.array().cast("array<string>"))
     )
-    return _with_result(decided, df.columns, hit | over, matches)
+    return _with_result(decided, df.columns, located, hit | over, matches)
 
 
 def result_json(detected: DataFrame, text: str = "text") -> DataFrame:

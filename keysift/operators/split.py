@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keysift.operators.keyed import unused
 from keysift.session import ensure_checkpoint_dir
 
 
@@ -72,7 +73,7 @@ test_thresholds.__test__ = False
 def stratified_split(
     df: DataFrame, key: str, label: str = "label", test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """Add ``split``: ``train`` or ``test``, with both classes in proportion and exact sizes.
+    """Add or replace ``split``: ``train`` or ``test``, with both classes in proportion and exact sizes.
 
     ``label`` is 0 or 1; a row with any other label gets a null. ``key`` identifies a row: rows that
     share one stay together, which is the only way the sizes can be off. The order is that of a
@@ -81,13 +82,10 @@ def stratified_split(
     Finding the thresholds reads the key and label columns only, and the split itself is a map over
     the table. The histogram is computed at once, the rest when the result is read.
     """
-    cuts = test_thresholds(df, key, label, test_size, seed)
-    in_test = F.coalesce(_hash(key, seed) <= F.col("cut"), F.lit(False))
-    return (
-        df.join(F.broadcast(cuts), label, "left")
-        .withColumn(
-            "split",
-            F.when(F.col(label).isin(0, 1), F.when(in_test, F.lit("test")).otherwise(F.lit("train"))),
-        )
-        .select(*df.columns, "split")
-    )
+    cut, part = unused(df, "cut"), "split"
+    cuts = test_thresholds(df, key, label, test_size, seed).withColumnRenamed("cut", cut)
+    in_test = F.coalesce(_hash(key, seed) <= F.col(cut), F.lit(False))
+    side = F.when(F.col(label).isin(0, 1), F.when(in_test, F.lit("test")).otherwise(F.lit("train")))
+    kept = [c for c in df.columns if c.lower() != part]
+    # Two rows at most, as the label is 0 or 1.
+    return df.join(F.broadcast(cuts), label, "left").select(*kept, side.alias(part))

@@ -173,7 +173,7 @@ def with_features(
     piece_chars: int = PIECE_CHARS,
     chars: Column | None = None,
 ) -> DataFrame:
-    """Add the vector ``features``. Grams outside the vocabulary are dropped, and a text of none, or
+    """Add or replace the vector ``features``. Grams outside the vocabulary are dropped, and a text of none, or
     a null, gets the zero vector.
 
     Map-only, but for texts longer than a piece: their pieces are counted one by one and summed per
@@ -181,6 +181,7 @@ def with_features(
     of the column it comes from. On a stream every text is taken whole.
     """
     params = params or VectorizerParams()
+    df = df.select(*[c for c in df.columns if c.lower() != "features"])
     if df.isStreaming:
         return _features_of_whole(df, model, params, text, mode)
     is_long = F.coalesce((F.length(text) if chars is None else chars) > piece_chars, F.lit(False))
@@ -193,7 +194,8 @@ def _features_of_whole(
     df: DataFrame, model: PipelineModel, params: VectorizerParams, text: str, mode: str
 ) -> DataFrame:
     grams = F.coalesce(grams_of(F.col(text), params, mode), F.array().cast("array<string>"))
-    return model.transform(df.withColumn("grams", grams)).select(*df.columns, "features")
+    packed = df.select(F.struct("*").alias("row"), grams.alias("grams"))
+    return model.transform(packed).select("row.*", "features")
 
 
 def _features_of_pieces(

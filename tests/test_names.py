@@ -1,0 +1,57 @@
+"""Operators keep columns of the input, whatever they are called."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from keysift.operators.detect import detect, mask_flagged, match_spans, matches_any_rule
+from keysift.operators.split import stratified_split
+from keysift.operators.vectorize import fit_vocabulary, vectorizer, with_features
+from tests.samples import FLAGGED, HARMLESS
+
+NAMES = ("_hit", "_found", "_gaps", "_spans", "span", "cut", "grams", "_counts", "row", "piece", "prepared", "doc")
+
+
+@pytest.fixture
+def clashing(texts):
+    df = texts([*FLAGGED, *HARMLESS, None, ""])
+    return df.withColumns({c: F.lit(f"own {c}") for c in NAMES})
+
+
+def check(found, rows):
+    assert set(NAMES) <= set(found.columns)
+    for r in found.select(*NAMES).distinct().collect():
+        assert list(r) == [f"own {c}" for c in NAMES]
+    assert found.count() == rows
+
+
+def test_detection(clashing, texts):
+    n = clashing.count()
+    check(detect(clashing), n)
+    check(mask_flagged(clashing), n)
+    spans = match_spans(clashing)
+    check(spans, match_spans(clashing.select("id", "text")).count())
+    plain = {r.id: r.matches for r in detect(clashing.select("id", "text")).collect()}
+    assert {r.id: r.matches for r in detect(clashing).collect()} == plain
+    scored = detect(clashing, score=lambda df: df.withColumn("confidence", F.lit(0.8)))
+    check(scored, n)
+    assert scored.where("NOT has_credential").isEmpty()
+    assert clashing.where(matches_any_rule(F.col("text"))).count() == len(FLAGGED)
+
+
+def test_split(clashing):
+    labelled = clashing.withColumn("label", (F.col("id") % 2).cast("int")).withColumn("split", F.lit("old"))
+    found = stratified_split(labelled, "id")
+    check(found, labelled.count())
+    assert found.columns.count("split") == 1
+    assert {r.split for r in found.collect()} == {"train", "test"}
+    plain = stratified_split(labelled.select("id", "label"), "id").collect()
+    assert sorted((r.id, r.split) for r in plain) == sorted((r.id, r.split) for r in found.collect())
+
+
+@pytest.mark.parametrize("piece_chars", [20, 250_000])
+def test_vectors(clashing, piece_chars):
+    model = vectorizer(fit_vocabulary(clashing))
+    found = with_features(clashing.withColumn("features", F.lit(1)), model, piece_chars=piece_chars)
+    check(found, clashing.count())
+    plain = with_features(clashing.select("id", "text"), model, piece_chars=piece_chars)
+    assert {r.id: r.features for r in found.collect()} == {r.id: r.features for r in plain.collect()}
