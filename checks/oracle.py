@@ -487,4 +487,5 @@ ORACLE: dict[str, str] = {
     "score_model": f"""WITH {detected(_DEFAULT)} SELECT doc_id, has_credential AS rule_hit, true AS sound,
       CASE WHEN has_credential THEN matches END AS matches, positions FROM detected""",
     "model_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "profile_model_roundtrip": "SELECT doc_id, true AS same, 5 AS n_profile FROM documents",
 }

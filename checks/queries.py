@@ -722,6 +722,22 @@ def model_roundtrip(spark, sf_dir):
     return before.join(after, "doc_id").select("doc_id", same)
 
 
+def profile_model_roundtrip(spark, sf_dir):
+    """Whether a model with the profile of texts in its vectors scores the same after storing, and the
+    profile is a part of its vectors."""
+    config = TrainingConfig(rf_n_estimators=20, rf_max_depth=8)
+    result = run_training(labelled(spark, sf_dir), config, key="doc_id", assemble_profile=True)
+    folder = scratch_path(spark, "profile-model")
+    save_model(result, folder)
+    loaded = load_model(spark, folder)
+    docs = documents(spark, sf_dir)
+    longer = loaded.forest.numFeatures - result.model.vocabulary.count()
+    before = result.model.predict(docs).select("doc_id", F.col("confidence").alias("before"))
+    after = loaded.predict(docs).select("doc_id", F.col("confidence").alias("after"))
+    same = (F.col("before") == F.col("after")) & F.col("after").between(0, 1)
+    return before.join(after, "doc_id").select("doc_id", same.alias("same"), F.lit(longer).alias("n_profile"))
+
+
 QUERIES: dict[str, Query] = {
     "char_counts": char_counts,
     "char_ratios": char_ratios,
@@ -785,4 +801,5 @@ QUERIES: dict[str, Query] = {
     "train_report": train_report,
     "score_model": score_model,
     "model_roundtrip": model_roundtrip,
+    "profile_model_roundtrip": profile_model_roundtrip,
 }
