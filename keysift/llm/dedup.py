@@ -11,8 +11,9 @@
 5. Signatures reject most false candidates, the full sets confirm the rest.
 6. Components by alternating large-star and small-star.
 
-No step gathers a bucket or a component in one task: minima are aggregated per task first, and the
-joins on buckets and nodes are plain equi-joins that adaptive execution can split.
+Minima are aggregated per task before they are exchanged. Rows of one bucket, and of one component,
+meet where they are aggregated or joined: the largest such task reads more than the others, and near
+copies below the threshold that share a bucket are still compared pair by pair in the last round.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ ROWS_PER_LANGUAGE = 2_000
 ROUNDS = 3
 SMOOTHING = 0.1
 START = "▁"  # marks the beginning of a word, in the vocabulary and here
-LONG = 32  # longer words are computed with logarithms, one by one
+LONG = 32  # letters of a word at most: longer runs, as of scripts without spaces, are several words
 CACHED_WORDS = 400_000  # up to 8 languages, fewer for more
 UNDETERMINED = "und"
 
@@ -50,10 +50,11 @@ def read_pieces(path: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lowered."""
+    """Runs of letters, lowered. A run of over ``LONG`` letters is cut into words of as many, in training
+    and in scoring alike: no letter is left out, and no table grows with a run."""
     import regex
 
-    return regex.findall(r"\p{L}+", (text or "").lower())
+    return regex.findall(rf"\p{{L}}{{1,{LONG}}}", (text or "").lower())
 
 
 class Lattice:
@@ -92,8 +93,7 @@ class Lattice:
         """Words of equal length together: their places in ``words`` and their tables, stacked."""
         by_length: dict[int, list[int]] = {}
         for i, word in enumerate(words):
-            if len(word) <= LONG:
-                by_length.setdefault(len(word), []).append(i)
+            by_length.setdefault(len(word), []).append(i)
         for places in by_length.values():
             for first in range(0, len(places), 4096):
                 some = places[first : first + 4096]
@@ -177,7 +177,7 @@ def training_words(docs: DataFrame, counts: dict[str, int], rows_per_language: i
             yield found.groupby(["lang", "word"], as_index=False).size().rename(columns={"size": "n"})
 
     parts = chosen.select("lang", "text").mapInPandas(run, "lang string, word string, n long")
-    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.length("word") <= LONG)
+    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def expected_counts(words: DataFrame, model: Model) -> np.ndarray:
@@ -227,7 +227,7 @@ def fit(
     """Learn from rows with an id, a text and a language.
 
     About ``rows_per_language`` rows of each language are used, chosen by a hash of the id; that
-    bounds the training. Words over ``LONG`` letters are not learned from. What reaches the driver is
+    bounds the training. Runs of letters of any length are learned from. What reaches the driver is
     a count per piece and language. Without rows the model knows no language.
     """
     rows = docs.select(

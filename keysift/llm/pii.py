@@ -12,8 +12,8 @@ whose disclosure reaches ``generalise`` is replaced by its kind wherever it stan
 surroundings of it: mirrored pages are one surrounding, however many there are. Every word can be a
 term, short ones and those with digits too, but for words that overlap a base span.
 
-Everything is DataFrame expressions. Texts are read and never exchanged, for spans and surroundings,
-for the corpus counts of all terms, and for the places of the terms found.
+Everything is DataFrame expressions. Spans, surroundings and the corpus counts of all terms come from
+scans of the texts; the places of the terms found are joined to the texts, which exchanges them.
 """
 
 from __future__ import annotations

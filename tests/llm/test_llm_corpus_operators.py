@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keysift.llm import audit, substrings, whitening
+from keysift.llm import audit, langid, substrings, whitening
 from keysift.llm.common import whole
 from keysift.llm.queries import QUERIES
 
@@ -354,3 +354,33 @@ def test_repeats_digest_of_the_query(spark):
         doc: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for doc, n, gone, kept in brute_repeats(rows, 50)
     }
     assert found == expected and any(gone for _, gone, _ in expected.values())
+
+
+# Language identification of scripts without spaces
+
+
+@pytest.mark.parametrize("run", [20, 40, 200])
+def test_language_of_long_runs(spark, run):
+    """Two languages that differ in how often they use the same Han letters, written without spaces."""
+    letters = [chr(0x4E00 + 7 * i) for i in range(60)]
+
+    def text(seed: int, lang: str) -> str:
+        chosen = random.Random(seed)
+        weights = [3 if (i % 2 == 0) == (lang == "a") else 1 for i in range(60)]
+        return "。".join("".join(chosen.choices(letters, weights, k=run)) for _ in range(400 // run))
+
+    rows = [(i, text(i, lang), lang) for i, lang in enumerate(["a", "b"] * 150)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = [(i, text(i, lang), lang) for i, lang in enumerate(["a", "b"] * 50, 1000)]
+    found = langid.with_language(spark.createDataFrame(held, "doc_id long, text string, lang string"), model)
+    assert sum(r.language.lang == r.lang for r in found.collect()) > 95
+
+
+def test_language_of_a_very_long_run(spark):
+    rows = [(i, "le chat et la souris" if i % 2 else "der hund und die katze", "fr" if i % 2 else "de") for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words = langid.words_of("Katze" * 200_000)
+    assert "".join(words) == "katze" * 200_000 and max(map(len, words)) == langid.LONG
+    scorer = langid.Scorer(model)
+    ((lang, _),) = scorer(["hundkatze" * 111_111])
+    assert lang == "de" and max(map(len, scorer.place)) == langid.LONG and len(scorer.place) < 20
