@@ -2,18 +2,21 @@
 
 1. Documents with the same set of shingles form a class; from here on a class is one node.
 2. A signature of universal hash minima per node; its bands are hashed to buckets.
-3. Nodes that share a bucket are candidates. A bucket is compared with a few of its own members
-   (hubs) at a time, and only across components found so far, so a bucket of n copies takes n
-   comparisons; the first round takes a few bands only. What is still apart after a few rounds is
-   compared in full. No pair is compared twice.
+3. Nodes that share a bucket are candidates. A bucket is compared with one of its own members (its
+   hub) first, and only across components found so far, so a bucket of n copies takes n comparisons;
+   the first round takes a few bands only.
 4. A shingle that no other candidate has is in no intersection. Counting those bounds the similarity
    of a pair from above, and pairs that cannot reach the threshold are not looked at.
-5. Signatures reject most false candidates, the full sets confirm the rest.
-6. Components by alternating large-star and small-star.
+5. What is still apart is told by how it differs from the hub (``differences``): two members that
+   are not alike to their hub are alike to each other only if they share at least half of what sets
+   them apart from it. They meet in a differing shingle that is rare among the hub's members, and
+   only if enough others can follow; first with one member per shingle, then all with all.
+6. Signatures reject most false candidates, the full sets confirm the rest. No pair is compared twice.
+7. Components by alternating large-star and small-star.
 
 Minima are aggregated per task before they are exchanged. Rows of one bucket, and of one component,
-meet where they are aggregated or joined: the largest such task reads more than the others, and near
-copies below the threshold that share a bucket are still compared pair by pair in the last round.
+meet where they are aggregated or joined, as ids and numbers only: the largest such task reads more
+than the others. Whole sets are dealt by node, or by hub in lots of ``HUB_LOT`` members.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysift.llm.common import WORD, forget, small_batches, stored
@@ -31,8 +34,10 @@ SHINGLE_SCHEMA = (
     "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, "
     "signature array<tinyint>"
 )
-# Bands and hubs per bucket of each round (None: all).
-ROUNDS = ((4, 1), (None, 1), (None, 8), (None, None))
+# Bands of each round that compares buckets with their hubs (None: all).
+ROUNDS = (4, None)
+# Members of one hub whose sets meet its set in one place.
+HUB_LOT = 500
 
 # A filter has so many bitmaps of 2^15 bits, the size of those that Spark builds.
 FILTER_PARTS = 2048
@@ -229,11 +234,9 @@ def agree(params: MinHash) -> Column:
     return agreement("signature_a", "signature_b") >= params.screen * params.bands * params.rows
 
 
-def confirmed(
-    pairs: DataFrame, signs: DataFrame | None, sets: DataFrame, params: MinHash
-) -> DataFrame:
+def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, params: MinHash) -> DataFrame:
     """Of the pairs ``(a, b, ...)``, those whose signatures agree and whose full sets reach the
-    threshold; without ``signs``, signatures have been compared before."""
+    threshold."""
 
     def with_both(rows: DataFrame, side: DataFrame, column: str) -> DataFrame:
         for end in ("a", "b"):
@@ -241,10 +244,8 @@ def confirmed(
             rows = rows.join(own, end)
         return rows
 
-    near = pairs
-    if signs is not None:
-        near = with_both(pairs, signs, "signature").where(agree(params)).select(pairs.columns)
-        near = stored(near, "near")
+    near = with_both(pairs, signs, "signature").where(agree(params)).select(pairs.columns)
+    near = stored(near, "near")
     ends = near.select("a").union(near.select("b"))
     needed = prefiltered(sets, F.xxhash64("node"), ends, F.xxhash64("a"))
     both = with_both(near, needed, "shingles")
@@ -294,58 +295,129 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     return sizes.join(own, "node", "left").select("node", "n", n_shared.alias("n_shared"))
 
 
-def candidate_pairs(
-    members: DataFrame,
-    roots: DataFrame,
-    signs: DataFrame,
-    tried: DataFrame | None,
-    hubs: int | None,
-    params: MinHash,
-) -> DataFrame:
-    """Pairs of one bucket that are not in one component, ``(a, b, ra, rb)`` with their roots.
-
-    ``signs`` has all bands and the signature of each node. Pairs of ``tried`` are left out. With ``hubs`` given, each bucket's members are paired with that many of them at most, one per
-    hash slot, the one with the least share of shingles of its own: the text that copies were made
-    from, if it is there; with None, all with all, in the first bucket they share and if their
-    signatures agree. Pairs whose shared shingles cannot make them alike are left out.
-    """
+def parted_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``members`` with their ``root``, in buckets that hold several components."""
     state = members.join(roots, "node")
     ends = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    parted = state.join(ends.where("low <> high").select("bucket"), "bucket")
-    columns = ["node", "root", "n_shingles", "n_shared"]
-    if hubs is None:
-        parted = parted.join(signs.select("node", "bands", "signature"), "node")
-        columns += ["band", "bands", "signature"]
-    ours = parted.select("bucket", *[F.col(c).alias(f"{c}_a") for c in columns])
-    if hubs is None:
-        other = parted
-    else:
-        slot = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        other = parted.groupBy("bucket", slot.alias("slot"))
-        own_share = (1 - F.col("n_shared") / F.col("n_shingles")).alias("own_share")
-        other = other.agg(F.min(F.struct(own_share, *columns)).alias("hub")).select("bucket", "hub.*")
-    theirs = other.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
-    most = F.least("n_shared_a", "n_shared_b")
-    union = F.col("n_shingles_a") + F.col("n_shingles_b") - most
+    return state.join(ends.where("low <> high").select("bucket"), "bucket")
+
+
+def with_hub(parted: DataFrame) -> DataFrame:
+    """``(bucket, hub)``: the member with the least share of shingles of its own, that is the text that
+    copies were made from if it is there, with all that is known of it."""
+    own_share = (1 - F.col("n_shared") / F.col("n_shingles")).alias("own_share")
+    hub = F.struct(own_share, "node", "root", "n_shingles", "n_shared")
+    return parted.groupBy("bucket").agg(F.min(hub).alias("hub"))
+
+
+def pair(one: str, other: str) -> list[Column]:
+    """Two nodes in order, and their roots."""
+    first = F.col(f"{one}node") < F.col(f"{other}node")
+    return [
+        F.least(f"{one}node", f"{other}node").alias("a"),
+        F.greatest(f"{one}node", f"{other}node").alias("b"),
+        F.when(first, F.col(f"{one}root")).otherwise(F.col(f"{other}root")).alias("ra"),
+        F.when(first, F.col(f"{other}root")).otherwise(F.col(f"{one}root")).alias("rb"),
+    ]
+
+
+def hub_pairs(members: DataFrame, roots: DataFrame, params: MinHash) -> DataFrame:
+    """Pairs ``(a, b, ra, rb)`` of a bucket's members with its hub, with their roots, across components
+    and without those whose shared shingles cannot make them alike."""
+    parted = parted_buckets(members, roots)
+    rows = parted.join(with_hub(parted), "bucket")
+    most = F.least("n_shared", "hub.n_shared")
+    union = F.col("n_shingles") + F.col("hub.n_shingles") - most
     alike = most * 100 >= union * F.lit(params.percent)
-    apart = (F.col("root_a") != F.col("root_b")) & alike
-    if hubs is None:
-        earlier = [F.slice(F.col(f"bands_{x}"), 1, F.col("band_a")) for x in "ab"]
-        met = F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
-        apart = apart & (F.col("node_a") < F.col("node_b")) & ~met & agree(params)
-    first = F.col("node_a") < F.col("node_b")
-    pairs = (
-        ours.join(theirs, "bucket")
-        .where(apart)
-        .select(
-            F.least("node_a", "node_b").alias("a"),
-            F.greatest("node_a", "node_b").alias("b"),
-            F.when(first, F.col("root_a")).otherwise(F.col("root_b")).alias("ra"),
-            F.when(first, F.col("root_b")).otherwise(F.col("root_a")).alias("rb"),
-        )
-        .distinct()
+    apart = (F.col("root") != F.col("hub.root")) & alike
+    return rows.where(apart).select(pair("", "hub.")).distinct()
+
+
+def differences(
+    members: DataFrame, roots: DataFrame, sets: DataFrame, params: MinHash
+) -> DataFrame:
+    """``(hub, node, weight, token)``: the shingles by which members of parted buckets differ from their
+    hubs, lost ones as well as gained ones.
+
+    Let a hub have N shingles, and x lose l and gain g of them. Then x and y have N - l_x - l_y + o
+    shingles in common, o being the number of tokens that both have: one that both lost was counted
+    twice, one that both gained not at all. They are alike at p percent if and only if
+
+        2 (100 + p) o >= weight_x + weight_y,  weight = 200 l + 2 p g - (100 - p) N.
+
+    A node is not alike to the hub if and only if its weight is over (100 - p) N, and none is below
+    -(100 - p) N. Of two components one at least is not alike to the hub, as hubs have been compared
+    with all, so the sum is above 0: nodes without a common token are never alike.
+    """
+    parted = parted_buckets(members, roots)
+    hubs = with_hub(parted).select("bucket", F.col("hub.node").alias("hub"))
+    near = stored(parted.join(hubs, "bucket").select("hub", "node").distinct(), "hub-members")
+    lots = near.groupBy("hub").agg(F.ceil(F.count("*") / HUB_LOT).cast("int").alias("lots"))
+    placed = near.join(lots, "hub").select(
+        "hub", "node", F.pmod(F.xxhash64("node"), "lots").cast("int").alias("lot")
+    )
+    own = F.xxhash64("node")
+    mine = prefiltered(sets, own, near, own).join(placed, "node")
+    lot = F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")
+    centres = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("centre"))
+    centres = centres.join(lots, "hub").select("hub", "centre", lot)
+    both = mine.join(centres, ["hub", "lot"]).select(
+        "hub",
+        "node",
+        F.size("centre").cast("long").alias("n"),
+        F.array_except("centre", "shingles").alias("lost"),
+        F.array_except("shingles", "centre").alias("gained"),
+    )
+    weight = 200 * F.size("lost") + 2 * params.percent * F.size("gained")
+    weight = (weight - (100 - params.percent) * F.col("n")).alias("weight")
+    return both.select("hub", "node", weight, F.explode(F.concat("lost", "gained")).alias("token"))
+
+
+def token_pairs(
+    tokens: DataFrame, roots: DataFrame, one_each: bool, params: MinHash
+) -> DataFrame:
+    """Pairs ``(a, b, ra, rb)`` across components that may be alike by what ``differences`` says.
+
+    The tokens of a node are ordered by how many members of the hub have them. A pair meets in the
+    first of its common tokens, at which each still has ``rest`` tokens, itself included; the pair has
+    no more than the lesser rest in common. A node keeps the tokens at which some partner could still
+    be alike. With ``one_each``, a token's nodes are paired with the one nearest to the hub only.
+    """
+    reach = 2 * (100 + params.percent)
+    state = tokens.join(roots, "node")
+    counts = state.groupBy("hub", "token").agg(
+        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    counts = counts.where("low <> high").select("hub", "token", "n")
+    # The least weight in other components of the hub's members.
+    lightest = state.groupBy("hub", "root").agg(F.min("weight").alias("weight"))
+    least = lightest.groupBy("hub").agg(F.min(F.struct("weight", "root")).alias("least"))
+    second = lightest.join(least, "hub").where(F.col("root") != F.col("least.root"))
+    second = second.groupBy("hub").agg(F.min("weight").alias("second"))
+    partner = F.when(F.col("root") == F.col("least.root"), F.col("second"))
+    partner = partner.otherwise(F.col("least.weight"))
+    order = Window.partitionBy("hub", "node").orderBy(F.desc("n"), F.desc("token"))
+    kept = (
+        state.join(counts, ["hub", "token"])
+        .withColumn("rest", F.row_number().over(order))
+        .join(least.join(second, "hub"), "hub")
+        .where(F.col("rest") * reach >= F.col("weight") + partner)
+        .select("hub", "token", "node", "root", "weight", "rest")
     )
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    kept = stored(kept, "tokens")
+    own = ["weight", "node", "root", "rest"]
+    other = kept
+    if one_each:
+        other = kept.groupBy("hub", "token").agg(F.min(F.struct(*own)).alias("first"))
+        other = other.select("hub", "token", "first.*")
+    ours = kept.select("hub", "token", *[F.col(c).alias(f"a_{c}") for c in own])
+    theirs = other.select("hub", "token", *[F.col(c).alias(f"b_{c}") for c in own])
+    may = F.least("a_rest", "b_rest") * reach >= F.col("a_weight") + F.col("b_weight")
+    apart = (F.col("a_root") != F.col("b_root")) & may
+    if not one_each:
+        apart = apart & (F.col("a_node") < F.col("b_node"))
+    met = ours.join(theirs, ["hub", "token"]).where(apart)
+    return met.select(pair("a_", "b_")).distinct()
 
 
 def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, text: str) -> DataFrame:
@@ -371,7 +443,7 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     own = F.xxhash64("node")
     # Not a semi-join, which Catalyst would move below the filter. Each node is in ``roots`` once.
     signs = prefiltered(classes, own, roots, own).join(roots.select("node"), "node")
-    signs = stored(signs, "signs")
+    signs = stored(signs.select("node", "row", "signature"), "signs")
     rows = signs.select("node", "row.*")
     texts = docs.select(
         F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text")
@@ -385,19 +457,29 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     members = members.join(shared.withColumnRenamed("n", "n_shingles"), "node")
     members = stored(members, "members")
     tried = None
-    for bands, hubs in ROUNDS:
-        some = members if bands is None else members.where(F.col("band") < bands)
-        pairs = candidate_pairs(some, roots, signs, tried, hubs, params)
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """The roots after the links among ``pairs``."""
+        nonlocal tried
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            continue
+            return roots
         own = pairs.select("a", "b")
         tried = own if tried is None else tried.union(own)
-        links = confirmed(pairs, None if hubs is None else signs, sets, params)
+        links = confirmed(pairs, signs, sets, params)
         moved = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        merged = roots.join(moved, "root", "left")
-        roots = stored(merged.select("node", F.coalesce("to", "root").alias("root")), "roots")
+        found = roots.join(moved, "root", "left")
+        return stored(found.select("node", F.coalesce("to", "root").alias("root")), "roots")
+
+    for bands in ROUNDS:
+        some = members if bands is None else members.where(F.col("band") < bands)
+        roots = merged(hub_pairs(some, roots, params))
+    tokens = stored(differences(members, roots, sets, params), "differences")
+    for one_each in (True, False):
+        roots = merged(token_pairs(tokens, roots, one_each, params))
     return roots
 
 

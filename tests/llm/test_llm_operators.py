@@ -368,6 +368,54 @@ def test_near_duplicates_links_that_no_hub_has(spark, monkeypatch):
     assert len({r.component_id for r in found}) == 1
 
 
+def near_copies(n, edits, seed, stock=8, length=100):
+    """Copies of one text, each with some words replaced by others of a small stock."""
+    chosen = random.Random(seed)
+    words = prose(seed, length).split()[:length]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        for place in chosen.sample(range(len(own)), chosen.choice(edits)):
+            own[place] = f"new{chosen.randrange(stock)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("edits, k", [((2, 3, 4), 4), ((6, 9, 12, 15), 1), ((4, 5, 6), 4)])
+def test_near_duplicates_among_copies_around_the_threshold(spark, monkeypatch, edits, k):
+    """Most pairs share buckets and lie at 50 to 85 %: all links are found, by few comparisons."""
+    compared = []
+    confirmed = dedup.confirmed
+    monkeypatch.setattr(
+        dedup, "confirmed", lambda pairs, *rest: (compared.append(pairs.count()), confirmed(pairs, *rest))[1]
+    )
+    rows = near_copies(260, edits, 11)
+    params = dedup.MinHash(words=k, bands=64, rows=3)
+    found = dedup.near_duplicates(frame(spark, rows, "doc_id long, text string"), params).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_components(rows, k)
+    assert sum(compared) < 40 * len(rows)
+
+
+def test_differences_tell_who_is_alike(spark):
+    """The weights and common tokens of ``differences`` give the intersections themselves."""
+    rows = near_copies(40, (2, 4, 8), 3)
+    params = dedup.MinHash(words=2, bands=4, rows=1)
+    sets = {i: np.unique([zlib.crc32(x.encode()) for x in map(" ".join, zip(t.split(), t.split()[1:]))]) for i, t in rows}
+    table = spark.createDataFrame([(bytes([i]), x.tolist()) for i, x in sets.items()], "node binary, shingles array<long>")
+    members = [(7, bytes([i]), len(x), len(x) - (i != 5)) for i, x in sets.items()]
+    members = spark.createDataFrame(members, "bucket long, node binary, n_shingles long, n_shared long")
+    roots = members.select("node", F.col("node").alias("root"))
+    weights, tokens_ = {}, defaultdict(set)
+    for r in dedup.differences(members, roots, table, params).collect():
+        assert r.hub == bytes([5])
+        weights[r.node[0]] = r.weight
+        tokens_[r.node[0]].add(r.token)
+    for a, b in itertools.combinations(weights, 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        alike = 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)
+        assert alike == (360 * len(tokens_[a] & tokens_[b]) >= weights[a] + weights[b])
+
+
 def test_prefilter_keeps_every_partner(spark):
     rows = spark.range(3000).selectExpr("id", "id % 7 AS other")
     keys = spark.range(0, 3000, 10).selectExpr("id AS name")
