@@ -286,13 +286,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
-    """``(node, n, n_shared)``: the size of each set, and how many of its shingles another one has."""
-    single = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
-    single = single.agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("n_own"))
-    sizes = sets.select("node", F.size("shingles").alias("n"))
+    """``(node, n, n_shared)``: the size of each set, and how many of its shingles another one has.
+    ``number`` tells the sets apart in the exchange of all shingles."""
+    single = sets.select("number", F.explode("shingles").alias("shingle")).groupBy("shingle")
+    single = single.agg(F.count("*").alias("n"), F.min("number").alias("number")).where("n = 1")
+    own = single.groupBy("number").agg(F.count("*").alias("n_own"))
+    sizes = sets.select("node", "number", F.size("shingles").alias("n"))
     n_shared = F.col("n") - F.coalesce("n_own", F.lit(0))
-    return sizes.join(own, "node", "left").select("node", "n", n_shared.alias("n_shared"))
+    return sizes.join(own, "number", "left").select("node", "n", n_shared.alias("n_shared"))
 
 
 def parted_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -336,8 +337,8 @@ def hub_pairs(members: DataFrame, roots: DataFrame, params: MinHash) -> DataFram
 def differences(
     members: DataFrame, roots: DataFrame, sets: DataFrame, params: MinHash
 ) -> DataFrame:
-    """``(hub, node, weight, token)``: the shingles by which members of parted buckets differ from their
-    hubs, lost ones as well as gained ones.
+    """``(hub, node, root, weight, tokens)``: the shingles by which members of parted buckets differ
+    from their hubs, lost ones as well as gained ones.
 
     Let a hub have N shingles, and x lose l and gain g of them. Then x and y have N - l_x - l_y + o
     shingles in common, o being the number of tokens that both have: one that both lost was counted
@@ -351,61 +352,73 @@ def differences(
     """
     parted = parted_buckets(members, roots)
     hubs = with_hub(parted).select("bucket", F.col("hub.node").alias("hub"))
-    near = stored(parted.join(hubs, "bucket").select("hub", "node").distinct(), "hub-members")
+    near = parted.join(hubs, "bucket").select("hub", "node", "root").distinct()
+    near = stored(near, "hub-members")
     lots = near.groupBy("hub").agg(F.ceil(F.count("*") / HUB_LOT).cast("int").alias("lots"))
     placed = near.join(lots, "hub").select(
-        "hub", "node", F.pmod(F.xxhash64("node"), "lots").cast("int").alias("lot")
+        "hub", "node", "root", F.pmod(F.xxhash64("node"), "lots").cast("int").alias("lot")
     )
     own = F.xxhash64("node")
-    mine = prefiltered(sets, own, near, own).join(placed, "node")
+    mine = prefiltered(sets.select("node", "shingles"), own, near, own).join(placed, "node")
     lot = F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")
     centres = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("centre"))
     centres = centres.join(lots, "hub").select("hub", "centre", lot)
     both = mine.join(centres, ["hub", "lot"]).select(
         "hub",
         "node",
+        "root",
         F.size("centre").cast("long").alias("n"),
         F.array_except("centre", "shingles").alias("lost"),
         F.array_except("shingles", "centre").alias("gained"),
     )
     weight = 200 * F.size("lost") + 2 * params.percent * F.size("gained")
     weight = (weight - (100 - params.percent) * F.col("n")).alias("weight")
-    return both.select("hub", "node", weight, F.explode(F.concat("lost", "gained")).alias("token"))
+    return both.select("hub", "node", "root", weight, F.concat("lost", "gained").alias("tokens"))
 
 
-def token_pairs(
-    tokens: DataFrame, roots: DataFrame, one_each: bool, params: MinHash
-) -> DataFrame:
-    """Pairs ``(a, b, ra, rb)`` across components that may be alike by what ``differences`` says.
+def rare_tokens(found: DataFrame, params: MinHash) -> DataFrame:
+    """``(hub, token, node, weight, rest)`` of ``differences``: where members of a hub meet.
 
-    The tokens of a node are ordered by how many members of the hub have them. A pair meets in the
-    first of its common tokens, at which each still has ``rest`` tokens, itself included; the pair has
-    no more than the lesser rest in common. A node keeps the tokens at which some partner could still
-    be alike. With ``one_each``, a token's nodes are paired with the one nearest to the hub only.
+    The tokens of a node are ordered by how many members of the hub have them, and ``rest`` says how
+    many it has from this one on. A pair meets in the first of its common tokens, and has no more in
+    common than the lesser rest there. A node keeps the tokens at which some node of another
+    component could still be alike; one with too few tokens for that keeps none and is not taken apart.
     """
     reach = 2 * (100 + params.percent)
-    state = tokens.join(roots, "node")
-    counts = state.groupBy("hub", "token").agg(
-        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    counts = counts.where("low <> high").select("hub", "token", "n")
-    # The least weight in other components of the hub's members.
-    lightest = state.groupBy("hub", "root").agg(F.min("weight").alias("weight"))
+    narrow = found.select("hub", "node", "root", "weight", F.size("tokens").alias("n"))
+    lightest = narrow.groupBy("hub", "root").agg(F.min("weight").alias("weight"))
     least = lightest.groupBy("hub").agg(F.min(F.struct("weight", "root")).alias("least"))
     second = lightest.join(least, "hub").where(F.col("root") != F.col("least.root"))
     second = second.groupBy("hub").agg(F.min("weight").alias("second"))
+    # The least weight among the hub's members of other components.
     partner = F.when(F.col("root") == F.col("least.root"), F.col("second"))
-    partner = partner.otherwise(F.col("least.weight"))
+    need = (F.col("weight") + partner.otherwise(F.col("least.weight"))).alias("need")
+    needs = narrow.join(least.join(second, "hub"), "hub").select("hub", "node", "n", need)
+    needs = needs.where(F.col("n") * reach >= F.col("need")).select("hub", "node", "need")
+    rows = found.join(needs, ["hub", "node"])
+    rows = rows.select("hub", "node", "root", "weight", "need", F.explode("tokens").alias("token"))
+    counts = rows.groupBy("hub", "token").agg(
+        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    counts = counts.where("low <> high").select("hub", "token", "n")
     order = Window.partitionBy("hub", "node").orderBy(F.desc("n"), F.desc("token"))
-    kept = (
-        state.join(counts, ["hub", "token"])
+    return (
+        rows.drop("root")
+        .join(counts, ["hub", "token"])
         .withColumn("rest", F.row_number().over(order))
-        .join(least.join(second, "hub"), "hub")
-        .where(F.col("rest") * reach >= F.col("weight") + partner)
-        .select("hub", "token", "node", "root", "weight", "rest")
+        .where(F.col("rest") * reach >= F.col("need"))
+        .select("hub", "token", "node", "weight", "rest")
     )
-    kept = stored(kept, "tokens")
+
+
+def token_pairs(
+    tokens: DataFrame, roots: DataFrame, one_each: bool, params: MinHash
+) -> DataFrame:
+    """Pairs ``(a, b, ra, rb)`` of ``rare_tokens`` across components that may be alike. With
+    ``one_each``, a token's nodes are paired with the one nearest to the hub only."""
+    reach = 2 * (100 + params.percent)
     own = ["weight", "node", "root", "rest"]
+    kept = tokens.join(roots, "node")
     other = kept
     if one_each:
         other = kept.groupBy("hub", "token").agg(F.min(F.struct(*own)).alias("first"))
@@ -452,7 +465,7 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     texts = prefiltered(texts, F.xxhash64("d", "h"), rows, own)
     same = texts["d"].eqNullSafe(rows["doc_id"]) & (texts["h"] == rows["text_hash"])
     sets = shingle_sets(texts.join(rows, same), params).dropDuplicates(["node"])
-    sets = stored(sets, "sets")
+    sets = stored(sets.withColumn("number", F.monotonically_increasing_id()), "sets")
     shared = shared_counts(sets).where(F.col("n_shared") * 100 >= F.col("n") * params.percent)
     members = members.join(shared.withColumnRenamed("n", "n_shingles"), "node")
     members = stored(members, "members")
@@ -477,7 +490,8 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     for bands in ROUNDS:
         some = members if bands is None else members.where(F.col("band") < bands)
         roots = merged(hub_pairs(some, roots, params))
-    tokens = stored(differences(members, roots, sets, params), "differences")
+    found = stored(differences(members, roots, sets, params), "differences")
+    tokens = stored(rare_tokens(found, params), "tokens")
     for one_each in (True, False):
         roots = merged(token_pairs(tokens, roots, one_each, params))
     return roots

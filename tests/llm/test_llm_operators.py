@@ -405,11 +405,11 @@ def test_differences_tell_who_is_alike(spark):
     members = [(7, bytes([i]), len(x), len(x) - (i != 5)) for i, x in sets.items()]
     members = spark.createDataFrame(members, "bucket long, node binary, n_shingles long, n_shared long")
     roots = members.select("node", F.col("node").alias("root"))
-    weights, tokens_ = {}, defaultdict(set)
+    weights, tokens_ = {}, {}
     for r in dedup.differences(members, roots, table, params).collect():
         assert r.hub == bytes([5])
         weights[r.node[0]] = r.weight
-        tokens_[r.node[0]].add(r.token)
+        tokens_[r.node[0]] = set(r.tokens)
     for a, b in itertools.combinations(weights, 2):
         common = len(np.intersect1d(sets[a], sets[b]))
         alike = 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)
