@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.common import ascii_lower, stored, whole
+from keysift.operators.keyed import lookup
 
 PREFIX_HEX = 8  # four bytes of the digest
 BROADCAST_RULES = 100_000
@@ -95,9 +96,13 @@ def judge(
     rows come back as often as they occur, a null key is a key, other columns play no part. No rules
     or no pages are no special case.
 
+    Each distinct host and path is judged once, with the number of its pages; verdicts are then looked
+    up by the pages. A host and path with over a thousandth of all pages is looked up where the pages
+    lie, so that no group of equal pages meets in one task.
+
     What reaches the driver is the set of shapes, a few numbers however many rules there are.
     The rules are broadcast up to ``BROADCAST_RULES`` rows, by count. Beyond, they are copied to
-    ``SALTS`` salts, so that pages which share a host do not meet in one task.
+    ``SALTS`` salts, so that paths which share a host do not meet in one task.
     """
     compiled = stored(compile_rules(rules), "url-rules")
     n_rules = compiled.count()
@@ -110,12 +115,13 @@ def judge(
         host_of(F.col(url)).alias("host"),
         path_of(F.col(url)).alias("path"),
     )
+    # A host has no slash, and what follows it is empty or begins with one: the two can be told apart.
+    parts = parts.withColumn("spot", F.concat("host", "path"))
+    spots = parts.groupBy("spot", "host", "path").agg(F.count("*").alias("pages"))
     digests = F.transform(
         expressions(F.col("host"), F.col("path"), shapes), lambda x: F.sha2(x, 256)
     )
-    # One row more per page, without a digest: it joins nothing and counts the repeats of the page.
-    marked = F.concat(F.array(F.lit(None).cast("string")), digests)
-    probes = parts.withColumn("probe", F.explode(marked)).withColumn(
+    probes = spots.withColumn("probe", F.explode_outer(digests)).withColumn(
         "prefix", F.substring("probe", 1, PREFIX_HEX)
     )
     found = compiled.select("prefix", "digest", "rule", "rule_verdict", "host_length")
@@ -123,7 +129,7 @@ def judge(
         joined = probes.join(F.broadcast(found), "prefix", "left")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salt = F.pmod(F.xxhash64("key", "url", "probe"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("spot", "probe"), F.lit(SALTS)).cast("int")
         joined = probes.withColumn("salt", salt).join(
             found.withColumn("salt", salts), ["prefix", "salt"], "left"
         )
@@ -136,18 +142,18 @@ def judge(
             "rule",
         ),
     )
-    best = joined.groupBy("key", "url", "host", "path").agg(
-        F.max(confirmed).alias("best"), F.sum(F.col("probe").isNull().cast("int")).alias("repeats")
+    best = joined.groupBy("spot").agg(
+        F.max(confirmed).alias("best"), F.first("pages").alias("pages")
     )
-    return best.select(
+    judged = lookup(parts, stored(best, "url-verdicts"), "spot", "pages", F.lit(True))
+    return judged.select(
         F.col("key").alias(key),
         F.col("url").alias(url),
         "host",
         "path",
         F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("repeat"),
-    ).drop("repeat")
+    )
 
 
 def rules_table(spark, rules=RULES) -> DataFrame:
