@@ -88,19 +88,27 @@ def with_copies(
     share: float = SHARE,
     limit: float = LIMIT,
     seed: str = SEED,
+    content: Column | None = None,
 ) -> DataFrame:
     """All rows of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
     ``size`` gives the words of a row (null: 0), ``copies`` how often the mix holds it, ``taken`` the
     words that makes. Columns of these names in ``docs`` are replaced. A null source is a source of
-    its own, a null id is hashed as empty. Rows that are alike in every column may change places.
+    its own, a null id is hashed as empty. Rows of one size class are ordered, and spread, by a hash of
+    the id and of ``content``, a string that tells rows of one id or without one apart (all columns, if
+    not given). Rows alike in every column may change places; those of one size class and source are
+    ranked in one task.
     A source without words has target 0 and no copies; an empty table gives an empty one. Runs with
     one seed agree.
     """
     names = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c.lower() not in names]
-    key, cls, bucket, order = (fresh(docs, f"mix_{n}") for n in ("key", "class", "bucket", "order"))
-    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    inner = ("key", "class", "bucket", "order", "start", "rank")
+    key, cls, bucket, order, start, rank = (fresh(docs, f"mix_{n}") for n in inner)
+    if content is None:
+        content = F.xxhash64(*kept).cast("string")
+    named = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), named, content))
     rows = (
         docs.select(*kept, F.coalesce(size, F.lit(0)).cast("long").alias("size"))
         .withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
@@ -136,17 +144,17 @@ def with_copies(
             bucket,
             "source_size",
             "target",
-            (F.col("class_start") + F.col("bucket_start")).alias("mix_start"),
+            (F.col("class_start") + F.col("bucket_start")).alias(start),
         )
     )
     starts = stored(starts, "mix-starts")
-    rank = F.row_number().over(
+    place_in_cell = F.row_number().over(
         W.partitionBy(key, cls, bucket).orderBy(order, doc_id, "size", F.xxhash64(*kept))
     )
-    ranked = rows.join(starts, [key, cls, bucket]).withColumn("mix_rank", rank)
+    ranked = rows.join(starts, [key, cls, bucket]).withColumn(rank, place_in_cell)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = unit_hash(F.concat(F.lit(f"{seed}|"), F.col(key)))
-    place = F.col("mix_start") + F.col("mix_rank")
+    place = F.col(start) + F.col(rank)
     crossed = F.floor(offset + place * expected) - F.floor(offset + (place - 1) * expected)
     copies = F.least(crossed, F.ceil(expected)).cast("long")
     return ranked.select(
@@ -165,6 +173,7 @@ def mix(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame:
     packed = docs.select(
         F.struct(*docs.columns).alias(holder), *[docs[c] for c in _keys(docs, settings)], docs[text]
     )
+    settings.setdefault("content", F.md5(whole(F.col(text))))
     drawn = with_copies(packed, word_count(F.col(text)), **settings).where("copies > 0")
     return drawn.select(
         F.explode(F.array_repeat(F.col(holder), F.col("copies").cast("int"))).alias(holder)

@@ -82,8 +82,13 @@ def op5_language(spark, sf_dir):
 
 def op6_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.with_copies(sized, F.col("size"))
+    sized = docs.select(
+        "doc_id",
+        "source",
+        mixing.word_count(F.col("text")).alias("size"),
+        F.md5(whole(F.col("text"))).alias("content"),
+    )
+    mixed = mixing.with_copies(sized, F.col("size"), content=F.col("content"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -238,7 +243,8 @@ FROM named LEFT JOIN least USING (c)
 ORACLE["op6_mix"] = rf"""
 WITH sized AS (
   SELECT doc_id, source, len({WORDS}) AS size,
-    md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents
+    md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS ord
+  FROM documents
 ), keyed AS (
   SELECT *, len(bin(size)) * 8 + (size >> greatest(len(bin(size)) - 3, 0)) AS cls FROM sized
 ), sources AS (
