@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysift.llm.common import SPACE, WORD, whole
+from keysift.llm.common import SPACE, WORD, fresh, whole
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -133,13 +133,16 @@ def rate(docs: DataFrame, *, text: str = "text", rules: Sequence[Rule] = RULES)
 
     Measures: ``n_words``, ``word_chars``, ``n_symbols``, ``n_upper``, ``n_lines`` (with a word),
     ``n_dup_lines``, ``n_stop_words``, ``n_repeat_words``. A null text counts as an empty one, which
-    breaks the length rule. Columns of ``docs`` by these names are replaced. Rows do not depend on each
-    other, so repeated rows and an empty table need no rule of their own.
+    breaks the length rule. Columns of ``docs`` by these names are replaced, all others stay. Rows do
+    not depend on each other, so repeated rows and an empty table need no rule of their own. Windows
+    are compared by 64 bits of a hash of their words' hashes.
     """
     outputs = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines"]
     outputs += ["n_stop_words", "n_repeat_words", "broken", "kept"]
-    kept = [c for c in docs.columns if c.lower() not in outputs and not c.startswith("q_")]
-    measured = _measures(docs.select(*kept), text)
+    kept = [c for c in docs.columns if c.lower() not in outputs]
+    # Inner columns begin with q_; those of the input that do step aside meanwhile.
+    aside = {c: fresh(docs, f"kept_{i}") for i, c in enumerate(kept) if c.lower().startswith("q_")}
+    measured = _measures(docs.select(*[F.col(c).alias(aside.get(c, c)) for c in kept]), aside.get(text, text))
     names = F.array_compact(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]))
     judged = measured.withColumn("broken", names).withColumn("kept", F.size("broken") == 0)
-    return judged.select(*kept, *outputs)
+    return judged.select(*[F.col(aside.get(c, c)).alias(c) for c in kept], *outputs)
