@@ -110,15 +110,13 @@ def masked(text: Column, base: Column) -> Column:
     return F.concat(end["done"], F.substring(text, end["at"] + 1, F.length(text) - end["at"]))
 
 
-def surroundings(found: DataFrame, reach: int, every: bool = False) -> DataFrame:
+def surroundings(found: DataFrame, reach: int) -> DataFrame:
     """``(kind, value, place, term)``: words wholly within ``reach`` characters of a base span.
 
-    ``place`` identifies the surrounding text. With ``every``, all words but those that overlap a base
-    span are terms, of any length and with digits or at signs; without, words of three characters or
-    more that have neither.
+    ``place`` identifies the surrounding text. All words but those that overlap a base span are terms,
+    of any length and with digits or at signs.
     """
-    if every:
-        found = found.select(masked(F.col("pii_text"), F.col("pii_spans")).alias("pii_text"), "pii_spans")
+    found = found.select(masked(F.col("pii_text"), F.col("pii_spans")).alias("pii_text"), "pii_spans")
     each = found.select("pii_text", F.explode("pii_spans").alias("s"))
     left_start = F.greatest(F.col("s.start") - reach, F.lit(0))
     sides = each.select(
@@ -135,21 +133,17 @@ def surroundings(found: DataFrame, reach: int, every: bool = False) -> DataFrame
     around = sides.select("kind", "value", F.concat_ws(" ", left, right).alias("around"))
     term = F.explode(terms_of(F.col("around")))
     rows = around.select("kind", "value", F.xxhash64("around").alias("place"), term.alias("term"))
-    if every:
-        return rows.where((F.col("term") != "") & ~F.contains(F.col("term"), F.lit(HIDDEN)))
-    return rows.where((F.length("term") >= 3) & ~F.col("term").rlike("[0-9@]"))
+    return rows.where((F.col("term") != "") & ~F.contains(F.col("term"), F.lit(HIDDEN)))
 
 
-def disclosive_terms(
-    found: DataFrame, docs: DataFrame, params: Disclosure, every: bool = False
-) -> DataFrame:
+def disclosive_terms(found: DataFrame, docs: DataFrame, params: Disclosure) -> DataFrame:
     """``(term, disclosure, action)`` for terms that give some entity away.
 
-    ``found`` has ``(pii_text, pii_spans)``, ``docs`` ``pii_text``; for ``every`` see ``surroundings``. Counts are of occurrences, over all
+    ``found`` has ``(pii_text, pii_spans)``, ``docs`` ``pii_text``. Counts are of occurrences, over all
     texts, combined per task before they are exchanged; common terms meet as one partial count per
     task.
     """
-    near = surroundings(found, params.reach, every)
+    near = surroundings(found, params.reach)
     by_place = near.groupBy("kind", "value", "term", "place").agg(F.count("*").alias("n"))
     pairs = by_place.groupBy("kind", "value", "term").agg(
         F.sum("n").alias("n_both"), F.count("*").alias("places")
@@ -241,7 +235,7 @@ def find(
     spanned = with_base_spans(rows, "pii_text", "pii_spans")
     found = spanned.where(F.size("pii_spans") > 0).select("pii_text", "pii_spans")
     found = stored(found, "pii-found")
-    terms = stored(disclosive_terms(found, rows, params, every=True), "pii-disclosive")
+    terms = stored(disclosive_terms(found, rows, params), "pii-disclosive")
     places = term_places(rows.select("pii_key", "pii_text"), terms)
     joined = spanned.join(places, "pii_key", "left")
     free = F.filter(
