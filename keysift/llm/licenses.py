@@ -9,7 +9,7 @@ license where some run of its words leads from the first state to the last.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Collection, Iterator, Mapping
 from typing import NamedTuple
 
 import pandas as pd
@@ -27,7 +27,8 @@ PHRASES = {
     "reserved": "all rights reserved",
 }
 # Templates in lower-case words. [ ] optional, {n} up to n words of any kind.
-# ``mit`` and ``bsd`` are the opening clauses alone, the labels ending in ``-text`` the whole wording.
+# Labels ending in ``-text`` are the whole wording of a licence, those ending in ``-notice`` the whole
+# notice its publisher gives; what ``SHORT`` names is less.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license [version] 2 0 [the license]",
     "bsd": "redistribution and use in source and binary forms with or without modification "
@@ -64,7 +65,7 @@ TEMPLATES = {
     "cc-by-nc-4.0": "[this {3} is] licensed under [a] [the] cc by nc 4 0 [international]",
     "cc-by-sa-4.0": "[this {3} is] licensed under [a] [the] cc by sa 4 0 [international]",
     "copyright": "copyright [c] {8} all rights reserved",
-    "gpl": "licensed under the [terms of the] [gnu] general public license",
+    "gpl-any": "licensed under the [terms of the] [gnu] general public license",
     "gpl-2.0": "licensed under the [terms of the] gnu general public license "
     "[as published by the free software foundation] [either] version 2 [or later]",
     "gpl-3.0": "licensed under the [terms of the] gnu general public license "
@@ -97,7 +98,19 @@ TEMPLATES = {
     "or [at your option] any later version",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license "
     "[v] {1} 2 0",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this "
+    "file except in compliance with the license you may obtain a copy of the license at {1} www apache "
+    "org licenses license 2 0 unless required by applicable law or agreed to in writing software "
+    "distributed under the license is distributed on an as is basis without warranties or conditions "
+    "of any kind either express or implied see the license for the specific language governing "
+    "permissions and limitations under the license",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 "
+    "if a copy of the mpl was not distributed with this file you can obtain one at {1} mozilla org mpl 2 0",
 }
+# Opening clauses and short notices: they name a licence and do not state it.
+SHORT = frozenset(
+    "apache-2.0 bsd cc-by-4.0 cc-by-nc-4.0 cc-by-sa-4.0 copyright gpl-any gpl-2.0 gpl-3.0 lgpl mit mpl-2.0".split()
+)
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -285,7 +298,10 @@ def joined(labels: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
-def score(phrases: Column, licenses: Column) -> Column:
-    """1 where a whole template matches, 0.5 where only a phrase does, else 0."""
+def score(phrases: Column, licenses: Column, short: Collection[str] = SHORT) -> Column:
+    """1 where a whole text or notice matches, 0.75 where only ``short`` ones do, 0.5 where only a phrase
+    does, else 0."""
     partly = F.when(F.size(phrases) > 0, F.lit(0.5)).otherwise(F.lit(0.0))
-    return F.when(F.size(licenses) > 0, F.lit(1.0)).otherwise(partly)
+    named = F.when(F.size(licenses) > 0, F.lit(0.75)).otherwise(partly)
+    stated = F.exists(licenses["label"], lambda label: ~label.isin(sorted(short)))
+    return F.when(stated, F.lit(1.0)).otherwise(named)

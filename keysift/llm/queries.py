@@ -355,7 +355,8 @@ WITH words AS (
 SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word,
   array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(base || own)), ',') AS labels,
-  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+  CASE WHEN len(list_filter(own, lambda x: x NOT IN ({", ".join(f"'{label}'" for label in sorted(licenses.SHORT))}))) > 0
+      THEN 1.0 WHEN len(own) > 0 THEN 0.75 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM listed
 """
 

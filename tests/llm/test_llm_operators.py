@@ -855,7 +855,7 @@ def test_licenses(spark):
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[4]), (4, texts[4])], "doc_id long, text string")
     found = {r.doc_id: r.scan for r in licenses.scan(docs.withColumn("Scan", licenses.F.lit(0))).collect()}
     labels = {i: sorted({x.label for x in scan.licenses}) for i, scan in found.items()}
-    assert labels[2] == ["apache-2.0"] and labels[3] == ["gpl", "gpl-3.0"] and labels[4] == ["cc-by-nc-4.0"]
+    assert labels[2] == ["apache-2.0"] and labels[3] == ["gpl-3.0", "gpl-any"] and labels[4] == ["cc-by-nc-4.0"]
     assert labels[0] == labels[1] == labels[5] == [] and labels[6] == ["copyright"] and labels[7] == ["mit"]
     assert [(x.label, x.start, x.end) for x in found[4].phrases] == [("cc-by", 2, 4), ("reserved", 7, 10), ("reserved", 10, 13)]
     assert [(x.label, x.start) for x in found[5].phrases] == [("cc-by", 6), ("cc-by", 8)]
@@ -872,6 +872,34 @@ def test_license_published_notices(lesser, version):
     assert [label for label, _, _ in found] == [name]
 
 
+def test_license_scores(spark):
+    """Whole texts and published notices 1, short notices 0.75, phrases alone 0.5."""
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+        "compliance with the License. You may obtain a copy of the License at\n\n    "
+        "http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License."
+    )
+    mozilla = (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    )
+    texts = [apache, mozilla, apache[:60], mozilla[:-40], "Under the general public license.", "nothing", None]
+    docs = licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    scored = docs.select("*", licenses.score(F.col("scan.phrases"), F.col("scan.licenses")).alias("score"))
+    rows = {r.doc_id: r for r in scored.collect()}
+    assert [rows[i].score for i in range(7)] == [1.0, 1.0, 0.75, 0.75, 0.5, 0.0, 0.0]
+    assert {x.label for x in rows[0].scan.licenses} == {"apache-2.0", "apache-2.0-notice"}
+    assert {x.label for x in rows[1].scan.licenses} == {"mpl-2.0", "mpl-2.0-notice"}
+    own = F.array(F.struct(F.lit("own").alias("label")))
+    assert spark.range(1).select(licenses.score(F.array(), own)).first()[0] == 1.0
+    assert not set(licenses.PHRASES) & set(licenses.TEMPLATES) and licenses.SHORT < set(licenses.TEMPLATES)
+    whole = {label for label in licenses.TEMPLATES if label.endswith(("-text", "-notice"))}
+    assert whole == set(licenses.TEMPLATES) - licenses.SHORT
+
+
 @pytest.mark.parametrize("label", ["mit-text", "bsd-2-clause-text", "bsd-3-clause-text"])
 def test_license_whole_texts(label):
     def labels(words):
