@@ -74,6 +74,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it a file or a folder of files: a pattern that only its name fits takes both."""
+    schema = table(spark, sf_dir, name).schema
+    return read_text_stream(spark, f"{sf_dir}/{name}.parque[t]", schema, "*")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), TASKS)
 
@@ -270,8 +276,7 @@ def detect_from_artifacts(spark, sf_dir):
 
 def detect_stream_query(spark, sf_dir):
     """Detection over chat messages as a stream, run until the folder is read."""
-    schema = table(spark, sf_dir, "conversations").schema
-    stream = read_text_stream(spark, sf_dir, schema, "conversations.parquet")
+    stream = streamed(spark, sf_dir, "conversations")
     output = scratch_path(spark, "stream")
     query = detect_stream(
         stream, output, scratch_path(spark, "stream-state"), score=digit_score, available_now=True
@@ -382,8 +387,7 @@ def append_examples_query(spark, sf_dir):
 
 def append_stream_query(spark, sf_dir):
     """Chat messages as a stream appended to a JSONL table, and its first batch written once more."""
-    schema = table(spark, sf_dir, "conversations").schema
-    stream = read_text_stream(spark, sf_dir, schema, "conversations.parquet")
+    stream = streamed(spark, sf_dir, "conversations")
     path = scratch_path(spark, "append-stream")
     append_stream(
         stream, path, scratch_path(spark, "append-state"), True, "chat", "user_input", available_now=True

@@ -11,14 +11,15 @@ from keysift.operators.detect import Scorer, detect
 
 def read_text_stream(
     spark: SparkSession,
-    folder: str,
+    path: str,
     schema: StructType | str,
     files: str = "*.parquet",
     max_bytes: int = 1 << 40,
 ) -> DataFrame:
-    """New parquet files of a folder as a stream of rows, up to ``max_bytes`` of files a batch."""
+    """New parquet files of a folder as a stream of rows, up to ``max_bytes`` of files a batch. ``path`` may
+    be a pattern, of folders and of files."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
-    return reader.option("maxBytesPerTrigger", str(max_bytes)).parquet(folder)
+    return reader.option("maxBytesPerTrigger", str(max_bytes)).parquet(path)
 
 
 def detect_stream(
