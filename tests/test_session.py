@@ -2,6 +2,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import append_stream_query, detect_stream_query
+from keysift.session import spread
+
+
+def test_rows_of_one_row_group_are_spread_however_often_the_file_is_cut(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.range(20_000).select("id", F.repeat(F.uuid(), F.lit(3)).alias("text"))
+    rows.coalesce(1).write.parquet(path)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= 8
+        dealt = spread(scan, 8)
+        counts = [row["count"] for row in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert sum(counts) == 20_000
+    assert len(counts) >= 8 and max(counts) < 20_000 / 4
 
 
 @pytest.mark.parametrize("files", [0, 3])
