@@ -435,18 +435,8 @@ def token_pairs(
 
 def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, text: str) -> DataFrame:
     """``(node, root)`` of all classes that share a bucket with another."""
-    first = F.min(F.struct("doc_id", "text_hash"))
-    classes = stored(
-        signed.where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(
-            first.alias("row"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"),
-            F.first("signature").alias("signature"),
-        ),
-        "classes",
-    )
+    worded = signed.where("node IS NOT NULL")
+    classes = stored(worded.groupBy("node").agg(F.first("bands").alias("bands")), "classes")
     banded = buckets(classes)
     met = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = stored(met, "buckets")
@@ -454,9 +444,12 @@ def linked(docs: DataFrame, signed: DataFrame, params: MinHash, doc_id: str, tex
     members = stored(banded.join(met, "bucket"), "bucket-members")
     roots = stored(members.select("node", F.col("node").alias("root")).distinct(), "nodes")
     own = F.xxhash64("node")
-    # Not a semi-join, which Catalyst would move below the filter. Each node is in ``roots`` once.
-    signs = prefiltered(classes, own, roots, own).join(roots.select("node"), "node")
-    signs = stored(signs.select("node", "row", "signature"), "signs")
+    # Not a semi-join, which Catalyst would move below the filter. Each node is in ``roots`` once. Only
+    # these have their signatures moved.
+    met = prefiltered(worded, own, roots, own).join(roots.select("node"), "node")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    signs = met.groupBy("node").agg(first, F.first("signature").alias("signature"))
+    signs = stored(signs, "signs")
     rows = signs.select("node", "row.*")
     texts = docs.select(
         F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text")
