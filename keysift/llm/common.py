@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysift.session import scratch_path
+from keysift.session import scratch_path, small_batches  # noqa: F401
 
 # A word, in a pattern that Java, RE2 and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,14 +24,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> None:
-    """At most 1,000 rows to a Python worker at once, from now on in this session: texts can be long,
-    and by default 10,000 of them would be held three times over."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= 1000:
-        conf.set(key, "1000")
-
-
 def whole(text: Column) -> Column:
     """A text, empty where it is null."""
     return F.coalesce(text, F.lit(""))
