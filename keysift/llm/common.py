@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 import sys
 import types
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +55,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that was freed back to the system. Workers are reused and allocators keep what earlier
+    tasks have freed, which counts for an executor while its JVM needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def forget() -> None:
     """Drop what ``per_process`` holds, so that a worker does not carry one operator's memory into the
     tasks of the next."""
     sys.modules.pop("keysift_per_process", None)
+    release()
 
 
 def per_process(name: str, key: object, make: Callable[[], object]):
@@ -64,6 +78,7 @@ def per_process(name: str, key: object, make: Callable[[], object]):
     store = sys.modules.setdefault("keysift_per_process", types.ModuleType("keysift_per_process"))
     held = vars(store).get(name)
     if held is None or held[0] != key:
+        release()
         held = (key, make())
         setattr(store, name, held)
     return held[1]
