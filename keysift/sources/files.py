@@ -176,7 +176,11 @@ def read_line_examples(spark: SparkSession, path: str, is_credential: bool) -> D
 
 
 def read_testset(
-    spark: SparkSession, path: str, multiline: bool = True, whole_files: bool = False
+    spark: SparkSession,
+    path: str,
+    multiline: bool = True,
+    whole_files: bool = False,
+    in_parts: bool = False,
 ) -> DataFrame | None:
     """Test rows ``(pos, text, label)`` of JSON objects ``{"texts": [...], "labels": [...]}``, or
     None where the path does not exist.
@@ -184,10 +188,14 @@ def read_testset(
     Texts and labels of unequal number fail the job. A file is one object, or with ``multiline=False`` one
     object per line, which Spark can split. The object of a file may be large: many tasks read it, see
     ``testset_elements``. ``whole_files=True`` reads each file in one task, for many small ones, and takes
-    any other keys beside the two; otherwise those must not hold objects or arrays of arrays.
+    any other keys beside the two; otherwise those must not hold objects or arrays of arrays. With
+    ``in_parts`` all files, one after the other by name, are one object, as many tasks write a large one;
+    it is cut between values.
     """
+    if in_parts and (whole_files or not multiline):
+        raise ValueError("an object in parts has neither whole files nor whole lines")
     if multiline and not whole_files:
-        return _paired(spark, path)
+        return _paired(spark, path, in_parts)
     schema = "texts ARRAY<STRING>, labels ARRAY<INT>"
     sets = if_found(spark.read.schema(schema).option("multiLine", multiline).json, path)
     if sets is None:
@@ -227,9 +235,10 @@ def _element(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "place", "key", "value"])
 
 
-def testset_elements(spark: SparkSession, path: str) -> DataFrame | None:
+def testset_elements(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame | None:
     """``(file, key, pos, value)``: the values of all arrays of the objects that files are, as JSON, by key
-    and position. A file is cut at its commas, so many tasks read a large one.
+    and position. A file is cut at its commas, so many tasks read a large one; with ``in_parts`` all files
+    are one.
 
     Positions come from counts: values are numbered within their block, blocks by a prefix over the counts
     of those before, and a position is the number since the key. Stored, as counts and values are read.
@@ -237,8 +246,13 @@ def testset_elements(spark: SparkSession, path: str) -> DataFrame | None:
     stretches = pieces.read_pieces(spark, path, ",")
     if stretches is None:
         return None
+    cuts = None
+    if in_parts:
+        cuts = stored(pieces.file_starts(spark, path), "file-starts")
+        stretches = pieces.following(stretches, cuts)
     schema = "file string, block long, place int, key string, value string"
-    elements = pieces.records(stretches, ",", pieces.json_ends_inside).mapInArrow(_element, schema)
+    stretches = pieces.records(stretches, ",", pieces.json_ends_inside, cuts=cuts)
+    elements = stretches.mapInArrow(_element, schema)
     elements = stored(elements, "testset")
     # The last key of a block, and how many values follow it there, or there are if it has none.
     in_block = Window.partitionBy("file", "block").orderBy("place")
@@ -274,8 +288,8 @@ def testset_elements(spark: SparkSession, path: str) -> DataFrame | None:
     )
 
 
-def _paired(spark: SparkSession, path: str) -> DataFrame | None:
-    elements = testset_elements(spark, path)
+def _paired(spark: SparkSession, path: str, in_parts: bool) -> DataFrame | None:
+    elements = testset_elements(spark, path, in_parts)
     if elements is None:
         return None
     texts = elements.where("key = 'texts'").select("file", "pos", F.col("value").alias("text"))

@@ -74,6 +74,20 @@ def read_pieces(spark: SparkSession, path: str | list[str], separator: str) -> D
     )
 
 
+def file_starts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, start)``: where each file starts if all follow each other by name. No content is read."""
+    found = spark.read.format("binaryFile").load(path)
+    found = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("n"))
+    # A row per file, so fewer than there are blocks.
+    return found.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("start"))
+
+
+def following(pieces: DataFrame, starts: DataFrame) -> DataFrame:
+    """Pieces of several files as those of one, in order of ``file_starts``."""
+    placed = pieces.join(F.broadcast(starts), "file")
+    return placed.select("value", F.lit("").alias("file"), (F.col("block") + F.col("start")).alias("block"))
+
+
 def _by_block(batches):
     """Of batches in the order of the file: ``(file, block)`` and its next pieces, again and again."""
     for batch in batches:
@@ -201,11 +215,16 @@ def _joined(ends: Ends, separator: str, kind: int, blank: tuple[str, ...]):
 
 
 def records(
-    pieces: DataFrame, separator: str, ends: Ends, blank: tuple[str, ...] = ()
+    pieces: DataFrame,
+    separator: str,
+    ends: Ends,
+    blank: tuple[str, ...] = (),
+    cuts: DataFrame | None = None,
 ) -> DataFrame:
     """``(file, block, place, record)``: what stands between separators outside quotes, in order of block
     and place in a file. A record is in the block where it begins; if quotes stay open, the last one ends
-    with its file. Records that are one of ``blank`` are left out and have no place.
+    with its file. Records that are one of ``blank`` are left out and have no place. At the ``cuts``, the
+    ``start`` of files that follow each other, a piece ends too: one inside quotes fails the job.
 
     Pieces are read three times: for the states, for whole records, and for those that cross blocks. The
     files must not change meanwhile, nor must Spark cut them elsewhere: an unknown block fails the job.
@@ -213,6 +232,10 @@ def records(
     starts = stored(block_starts(pieces, ends), "blocks")
     if starts.count() > MAX_BLOCKS:
         raise ValueError("too many blocks: raise spark.sql.files.maxPartitionBytes")
+    if cuts is not None:
+        inside = starts.where("inside").join(cuts, F.col("block") == F.col("start"), "left_semi")
+        if not inside.isEmpty():
+            raise ValueError("a file ends inside quotes and cannot be followed by the next")
     joined = pieces.join(F.broadcast(starts), BLOCK, "left")
     unknown = F.raise_error(F.concat(F.lit("a block is cut elsewhere than before in "), "file"))
     joined = joined.select(

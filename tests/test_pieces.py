@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from checks import queries
 from keysift.sources import files, pieces
 
 
@@ -160,3 +161,51 @@ def test_bad_objects(spark, tmp_path, small_blocks):
     path.write_text('{"labels": [null, 1], "texts": [null, "b"]}')
     assert sorted(map(tuple, files.read_testset(spark, str(path)).collect())) == [(0, None, None), (1, "b", 1)]
     assert files.read_testset(spark, str(tmp_path / "none")) is None
+
+
+@pytest.mark.parametrize("seed, size", [(4, 60), (5, 500)])
+def test_one_object_in_files_that_follow_each_other(spark, tmp_path, small_blocks, seed, size):
+    texts, labels, content = random_testset(seed, 40, indent=2)
+    lines = content.splitlines(keepends=True)
+    cuts = sorted(random.Random(seed).sample(range(1, len(lines)), 6))
+    for k, (a, b) in enumerate(zip([0, 0, *cuts], [0, *cuts, len(lines)])):
+        (tmp_path / f"part-{k:05d}.txt").write_text("".join(lines[a:b]))  # the first is empty
+    small_blocks(size)
+    found = rows(files.read_testset(spark, str(tmp_path), in_parts=True))
+    assert found == [(i, t, y) for i, (t, y) in enumerate(zip(texts, labels))]
+    assert files.read_testset(spark, str(tmp_path / "none"), in_parts=True) is None
+    with pytest.raises(ValueError, match="in parts"):
+        files.read_testset(spark, str(tmp_path), whole_files=True, in_parts=True)
+
+
+def test_files_that_follow_each_other_are_not_cut_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"texts": ["a, b')
+    (tmp_path / "b.json").write_text(', c"], "labels": [1]}')
+    with pytest.raises(ValueError, match="ends inside quotes"):
+        files.read_testset(spark, str(tmp_path), in_parts=True)
+
+
+def test_one_object_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    texts = [f'{k}, "word" {"digit" if k % 3 else k}\n' for k in range(300)]
+    texts = [t if k % 2 else t.lstrip("0123456789") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    path = queries.scratch_path
+
+    def scratch_path(session, name):
+        written.append(path(session, name))
+        return written[-1]
+
+    monkeypatch.setattr(queries, "scratch_path", scratch_path)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        found = rows(queries.QUERIES["ingest_testset_object"](spark, str(tmp_path)))
+    finally:
+        spark.conf.set(key, before)
+    expected = [(i, t, int(any(c.isdigit() for c in t))) for i, t in enumerate(texts, 1)]
+    assert found == [(0, None, None), *expected]
+    parts = spark.read.text(written[0]).select("_metadata.file_path").distinct().count()
+    assert parts > 2
