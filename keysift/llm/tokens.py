@@ -12,8 +12,9 @@ from __future__ import annotations
 import array
 import os
 import re
+import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +51,15 @@ class Encoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     pieces between spaces and line ends, one after the other. Most pieces recur; each is encoded once.
-    Most are one word, perhaps with a full stop or comma, which is a token of its own: such words are
-    encoded many at a time, and told apart by the tokens that end a word. As the tokenizer lowers
-    letters, A-Z are lowered first, but in texts that may hold one of its special tokens; those are
-    encoded whole. Ids are unsigned 32-bit integers. The memory holds ``CACHED_PIECES`` pieces and starts anew when full.
+    Most are a word of letters, perhaps with marks behind it, which are tokens of their own: such words
+    need no normalizer and no splitting and go to the tokenizer's model as they are, if the tokenizer is
+    found to treat letters and marks so (``_letters``). As the tokenizer lowers letters, A-Z are lowered
+    first, but in texts that may hold one of its special tokens; those are encoded whole. Ids are unsigned
+    32-bit integers. The memory holds ``CACHED_PIECES`` pieces and starts anew when full.
     """
 
-    LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    MARKS = (".", ",")
+    LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    WORD_AND_MARKS = re.compile(f"([{LETTERS}]+)([{re.escape(string.punctuation)}]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,44 +67,65 @@ class Encoder:
         # One thread per worker: Spark runs as many workers as there are cores.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.letters = self._letters()
         self.known: dict[str, bytes] = {}
 
+    def _split(self, text: str) -> list[str]:
+        """What the tokenizer gives its model for a text without special tokens."""
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        if self.tokenizer.pre_tokenizer is None:
+            return [text]
+        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _letters(self) -> dict[int, str] | None:
+        """For each letter what the model gets for it; None if words cannot be told from letters alone."""
+        letters = [c for c in map(chr, range(256)) if re.fullmatch(f"[{self.LETTERS}]", c)]
+        table = {ord(c): "".join(self._split(c)) for c in letters}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        alone = all("<|" in token.content for token in added) and not self.tokenizer.truncation
+        runs = all(
+            self._split("".join(run)) == ["".join(table[ord(c)] for c in run)]
+            for run in (letters, letters[::-1], *([c, c] for c in letters))
+        )
+        marks = all(
+            self._split(c + mark * n) == [table[ord(c)], *self._split(mark * n)]
+            for c in letters
+            for mark in string.punctuation
+            for n in (1, 2)
+        )
+        same = all(table[ord(c)] == c for c in string.ascii_lowercase)
+        return table if alone and runs and marks and same else None
+
     def _each(self, pieces: list[str]) -> Iterator[bytes]:
         encodings = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return (array.array("I", encoding.ids).tobytes() for encoding in encodings)
 
-    def _learn_words(self, words: list[str]) -> None:
-        for first in range(0, len(words), 1000):
-            some = words[first : first + 1000]
-            (encoded,) = self._each([" ".join(some)])
-            ends = (np.flatnonzero(self.ends[np.frombuffer(encoded, "<u4")]) + 1) * 4
-            if len(ends) != len(some):  # a vocabulary that cuts words otherwise
-                self.known.update(zip(some, self._each(some)))
-                continue
-            begins = [0, *ends[:-1].tolist()]
-            self.known.update(zip(some, (encoded[a:b] for a, b in zip(begins, ends.tolist()))))
+    def _each_word(self, words: Iterable[str]) -> Iterator[bytes]:
+        for word in words:
+            found = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
+            yield array.array("I", [token.id for token in found]).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        known, marks, latin = self.known, self.MARKS, self.LATIN.fullmatch
-        words, marked, rest = set(), [], []
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        known, parts = self.known, self.WORD_AND_MARKS.fullmatch
+        words, marked, rest = set(), [], set()
         for piece in pieces:
-            word = piece[:-1] if piece[-1:] in marks else piece
-            if not (word.isascii() and word.isalpha() or latin(word)):
-                rest.append(piece)
+            found = parts(piece) if self.letters else None
+            if found is None:
+                rest.add(piece)
                 continue
-            if word is not piece:
-                marked.append(piece)
+            word, marks = found.groups()
             if word not in known:
                 words.add(word)
-        self._learn_words(list(words))
-        known.update(zip(rest, self._each(rest)))
-        if marked:
-            mark = dict(zip(marks, self._each(list(marks))))
-            for piece in marked:
-                known[piece] = known[piece[:-1]] + mark[piece[-1]]
+            if marks:
+                marked.append((piece, word, marks))
+                if marks not in known:
+                    rest.add(marks)
+        known.update(zip(words, self._each_word(words)))
+        known.update(zip(rest, self._each(list(rest))))
+        known.update((piece, known[word] + known[marks]) for piece, word, marks in marked)
+        return [known[piece] for piece in pieces]
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
@@ -121,19 +144,17 @@ class Encoder:
             )
         words = pieces.flatten().dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = words.indices.to_numpy()
         if len(self.known) > CACHED_PIECES:
             self.known = {}
-        self._learn([piece for piece in distinct if piece not in self.known])
-        each = list(map(self.known.__getitem__, distinct))
-        flat = np.frombuffer(b"".join(each), "<u4")
-        lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        starts = np.cumsum(lengths) - lengths
-        counts = lengths[at]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        places = np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])
-        offsets = np.asarray(pieces.offsets)
-        return flat[places], np.diff(ends[offsets - offsets[0]])
+        each = list(map(self.known.get, distinct))
+        new = [i for i, ids in enumerate(each) if ids is None]
+        for i, ids in zip(new, self._learn([distinct[i] for i in new])):
+            each[i] = ids
+        found = pa.array(each, pa.large_binary()).take(words.indices)
+        _, offsets, ids = found.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(found) + 1] // 4
+        rows = np.asarray(pieces.offsets)
+        return np.frombuffer(ids, "<u4", count=ends[-1]), np.diff(ends[rows - rows[0]])
 
 
 def _encode(path: str, end_id: int):

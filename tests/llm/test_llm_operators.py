@@ -983,3 +983,62 @@ def test_encoder_forgets_without_harm(monkeypatch):
     direct = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     got = [encoder(pa.array([t]))[0].tolist() for t in texts]
     assert got == direct
+
+
+def same_as_library(encoder, texts):
+    ids, sizes = encoder(pa.array(texts, pa.string()))
+    got = [each.tolist() for each in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_gives_words_to_the_model():
+    """Words of letters, with marks or without, need no normalizer and no splitting; the ids are the same."""
+    rnd = random.Random(10)
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    whole, seen = encoder.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, pieces, **options):
+            seen.extend(pieces)
+            return whole.encode_batch_fast(pieces, **options)
+
+    encoder.tokenizer = Spy()
+    words = ["".join(rnd.choices("abcdestßéÿÀÞ", k=rnd.randint(1, 9))) for _ in range(300)]
+    text = " ".join(word + rnd.choice(["", "", ".", ",", "$$$", ".***", "'", "!?"]) for word in words)
+    ids, sizes = encoder(pa.array([text, "", "x1"]))
+    assert ids.tolist() == [i for t in (text, "x1") for i in whole.encode(t, add_special_tokens=False).ids]
+    assert sizes[1] == 0
+    assert not any(re.search("[a-zß-ÿÀ-Þ]", piece) for piece in seen if piece != "x1")
+    alphabet = ["ab'sz", "ÀÉÞß", "A", ".,;'\"!$%_-", "0189½ª", " \n\t\r \u0085́", "日本ſKẞ"]
+    encoder.tokenizer = whole
+    same_as_library(
+        encoder,
+        ["".join(rnd.choice(rnd.choice(alphabet)) for _ in range(rnd.randint(0, 40))) for _ in range(2000)],
+    )
+
+
+@pytest.mark.parametrize("kind", ["added word", "marks in words", "letters apart", "upper case", "plain"])
+def test_encoder_with_another_tokenizer(tmp_path, kind):
+    """What the encoder takes for granted about letters and marks is looked up in the tokenizer."""
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers, trainers
+
+    tokenizer = Tokenizer(models.BPE())
+    tokenizer.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.Lowercase()])
+    split = {"marks in words": "\\S+", "letters apart": "[a-m]+|[^a-m\\s]+"}.get(kind, "\\p{L}+|[^\\s\\p{L}]+")
+    if kind == "upper case":
+        tokenizer.normalizer = normalizers.Replace(Regex("[a-z]"), "X")
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [
+            pre_tokenizers.Split(Regex(split), "removed", invert=True),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ]
+    )
+    trainer = trainers.BpeTrainer(
+        vocab_size=400, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False
+    )
+    tokenizer.train_from_iterator([prose(i, 30) + " end. end, zenith$$$ été" for i in range(50)], trainer)
+    if kind == "added word":
+        tokenizer.add_tokens(["zenith"])
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    encoder = tokens.Encoder(str(tmp_path / "tokenizer.json"))
+    same_as_library(encoder, ["end. zenith$$$ zenith end,, of the été ô.", "", prose(7, 30)])
