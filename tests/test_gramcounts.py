@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -86,3 +87,16 @@ def test_long_texts_count_as_short_ones(spark, texts):
         assert vectors[0].keys() == vectors[1].keys()
         for key, vector in vectors[0].items():
             assert np.allclose(vector.toArray(), vectors[1][key].toArray())
+
+
+def test_memory_of_vectors_does_not_grow_with_the_texts_of_a_batch():
+    vocabulary = gramcounts.Vocabulary.of(["a", "ab", " b"])
+    peaks = []
+    for n in (50, 500):
+        texts = ["ab" * 2000 + " "] * n
+        tracemalloc.start()
+        ends, places, counts = gramcounts.counts_per_text(texts, vocabulary, 3, True)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(ends) == n and places.tolist() == [0, 1] * n and counts.tolist() == [2000, 2000] * n
+    assert peaks[1] < 1.5 * peaks[0]
